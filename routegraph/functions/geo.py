@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0
 
 
-def _c(x: Column | str | float) -> Column:
+def _c(x: Column | str | float | None) -> Column:
     if isinstance(x, Column):
         return x
     if isinstance(x, str):
         return F.col(x)
-    return F.lit(float(x))
+    return F.lit(None if x is None else float(x)).cast("double")
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
@@ -27,14 +27,15 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     half_dphi = F.sin((phi2 - phi1) / 2)
     half_dlam = F.sin((lam2 - lam1) / 2)
     h = F.pow(half_dphi, 2) + F.cos(phi1) * F.cos(phi2) * F.pow(half_dlam, 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    clamped = F.when(h > 1.0, F.lit(1.0)).otherwise(h)  # NULL stays NULL (least() would skip it)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """The same formula as SQL text (Spark SQL and DuckDB accept it unchanged)."""
-    return (
-        f"({2 * EARTH_RADIUS_KM} * asin(sqrt(least(1.0, "
-        f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
+    h = (
+        f"(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
         f"cos(radians({lat1})) * cos(radians({lat2})) * "
-        f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))))"
+        f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))"
     )
+    return f"({2 * EARTH_RADIUS_KM} * asin(sqrt(CASE WHEN {h} > 1.0 THEN 1.0 ELSE {h} END)))"

@@ -13,10 +13,11 @@ stars, each centred on its component's minimum id. So the component label is the
 **minimum vertex id** of the component: deterministic and comparable across engines.
 
 Each step is one aggregation (min per node: partial aggregation, skew-safe) and one
-equi-join on the node id (AQE splits a hub's partition), followed by ``distinct``. Every
-round is checkpointed (reliable checkpoint dir) and the driver only receives a
-fingerprint row (count, hash-sum) per round to detect the fixed point, which is then
-verified to be a star forest exactly.
+equi-join on the node id (AQE splits a hub's partition), followed by ``distinct``. Each
+round is persisted and computed by one aggregate that hands the driver a fingerprint row
+(count, hash-sum) to detect the fixed point, which is then verified to be a star forest
+exactly; every ``checkpoint_every`` rounds and the result go to the reliable checkpoint
+dir (see ``lineage``).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.operators.graph import Graph
-from routegraph.operators.lineage import cut_lineage
+from routegraph.operators.lineage import DEFAULT_CHECKPOINT_EVERY, RoundKeeper
 
 
 def _undirected(g: Graph) -> DataFrame:
@@ -58,12 +59,12 @@ def small_star(e: DataFrame) -> DataFrame:
     return to_min.unionByName(m.select("x", F.col("m").alias("y"))).distinct()
 
 
-def _fingerprint(e: DataFrame) -> tuple[int, int]:
-    row = e.agg(
+def _fingerprint(e: DataFrame):
+    """One row (n, h): edge count and a hash sum; equal fingerprints mean an unchanged set."""
+    return e.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.xxhash64("x", "y") % (1 << 40)), F.lit(0)).alias("h"),
     ).first()
-    return int(row["n"]), int(row["h"])
 
 
 def _is_star_forest(e: DataFrame) -> bool:
@@ -73,16 +74,19 @@ def _is_star_forest(e: DataFrame) -> bool:
     return multi.isEmpty() and chained.isEmpty()
 
 
-def star_forest(g: Graph, max_rounds: int = 200) -> tuple[DataFrame, int]:
+def star_forest(
+    g: Graph, max_rounds: int = 200, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY
+) -> tuple[DataFrame, int]:
     """(child x, centre y) pairs of the converged star forest, and the round count."""
-    e = cut_lineage(_undirected(g))
-    prev = _fingerprint(e)
+    keeper = RoundKeeper(checkpoint_every)
+    e, fp = keeper.materialize(_undirected(g), 0, summary=_fingerprint)
     for rnd in range(1, max_rounds + 1):
-        e = cut_lineage(small_star(large_star(e)))
-        cur = _fingerprint(e)
-        if cur == prev and _is_star_forest(e):
-            return e, rnd
-        prev = cur
+        nxt, cur = keeper.materialize(small_star(large_star(e)), rnd, summary=_fingerprint)
+        keeper.release(keep=(nxt,))
+        if tuple(cur) == tuple(fp) and _is_star_forest(nxt):
+            return keeper.finish(nxt), rnd
+        e, fp = nxt, cur
+    keeper.release()
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 

@@ -1,23 +1,75 @@
-"""Lineage cutting for iterative operators.
+"""Lineage management for iterative operators.
 
-Each round of an iterative operator (hops, components) is written to the session's
-reliable checkpoint directory, so a lost executor recomputes at most one round and the
-plan does not grow with the round count. The DataFrame is persisted first so the
-checkpoint write does not recompute it, then unpersisted.
+Each round of an iterative operator (hops, components) is materialised once: it is
+persisted and one aggregate action (a row count, or a fingerprint) computes it into the
+cache and hands the driver a single row. Every ``checkpoint_every`` rounds, and for the
+final result, the round is also written to the session's *reliable* checkpoint
+directory (shared storage on a cluster), which cuts the lineage: a lost executor then
+recomputes at most ``checkpoint_every`` rounds from cached or checkpointed parents, and
+the plan never grows with the round count.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from routegraph.session import ensure_checkpoint_dir
 
+DEFAULT_CHECKPOINT_EVERY = 2
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
+
+def count_row(df: DataFrame) -> Row:
+    return df.agg(F.count(F.lit(1)).alias("n")).first()
+
+
+class RoundKeeper:
+    """Tracks the DataFrames an iterative operator has persisted, and releases them."""
+
+    def __init__(self, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> None:
+        self.checkpoint_every = max(1, int(checkpoint_every))
+        self._held: list[DataFrame] = []
+
+    def materialize(
+        self, df: DataFrame, rnd: int, summary: Callable[[DataFrame], Row] = count_row
+    ) -> tuple[DataFrame, Row]:
+        """Persist ``df``, compute it with one aggregate action, and checkpoint it on
+        every ``checkpoint_every``-th round. Returns the DataFrame to use next and the row."""
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        row = summary(df)
+        if rnd % self.checkpoint_every == 0:
+            return self.checkpoint(df), row
+        self._held.append(df)
+        return df, row
+
+    def checkpoint(self, df: DataFrame) -> DataFrame:
+        """Reliable checkpoint (computed from the cache when ``df`` is persisted)."""
+        ensure_checkpoint_dir(df.sparkSession)
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.checkpoint(eager=True)
         df.unpersist()
+        return out
+
+    def release(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Unpersist every held round except those in ``keep``."""
+        kept = [df for df in self._held if any(df is k for k in keep)]
+        for df in self._held:
+            if not any(df is k for k in keep):
+                df.unpersist()
+        self._held = kept
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Make ``df`` the checkpointed result and release everything else."""
+        if any(df is h for h in self._held):
+            self._held = [h for h in self._held if h is not df]
+            df = self.checkpoint(df)
+        self.release()
+        return df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """One-off reliable checkpoint of ``df`` (persisted first, so it is computed once)."""
+    return RoundKeeper().checkpoint(df)

@@ -16,11 +16,13 @@ Per round:
   both sides shuffle and AQE splits skewed (hub) partitions.
 * candidates are de-duplicated (partial aggregation before the shuffle) and anti-joined
   with everything already visited.
-* the new level is checkpointed to the session's reliable checkpoint dir (lineage cut,
-  executor-loss safe); the visited set is the union of level checkpoints, consolidated
-  into one checkpoint every few levels so the plan stays small on deep graphs.
-The loop ends on an empty frontier (or ``max_hops``); only one count per round reaches
-the driver.
+* the new level is persisted and counted (one action); every ``checkpoint_every`` levels
+  it is also written to the session's reliable checkpoint dir (lineage cut, so a lost
+  executor recomputes at most that many levels). The visited set is the union of the
+  levels, consolidated into one checkpoint every ``consolidate_every`` levels so the plan
+  stays small on deep graphs; the result is checkpointed and the cache released.
+The loop ends on an empty frontier (or ``max_hops``); one count per round reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.operators.graph import Graph
-from routegraph.operators.lineage import cut_lineage
+from routegraph.operators.lineage import DEFAULT_CHECKPOINT_EVERY, RoundKeeper
 
 # Approximate in-memory bytes of one (id, landmark) frontier row, used against the
 # session's broadcast budget.
@@ -53,17 +55,25 @@ def _landmark_ids(g: Graph, landmarks) -> DataFrame:
     return v.filter(F.col("id").isin(list(landmarks)))
 
 
-def hops_to(g: Graph, landmarks, max_hops: int | None = None, consolidate_every: int = 8) -> DataFrame:
+def hops_to(
+    g: Graph,
+    landmarks,
+    max_hops: int | None = None,
+    consolidate_every: int = 8,
+    checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY,
+) -> DataFrame:
     """(id, landmark, hops) for every vertex that can reach a landmark; hops is int."""
     spark = g.vertices.sparkSession
     budget = broadcast_budget_bytes(spark)
-    rev = cut_lineage(
+    keeper = RoundKeeper(checkpoint_every)
+    rev = keeper.checkpoint(
         g.real_edges().select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     )
-    level = cut_lineage(
-        _landmark_ids(g, landmarks).select("id", F.col("id").alias("landmark"), F.lit(0).alias("hops"))
+    start = _landmark_ids(g, landmarks).select(
+        "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
     )
-    n_level = level.count()
+    level, row = keeper.materialize(start, 0)
+    n_level = row["n"]
     done: list[DataFrame] = [level]  # consolidated visited set + recent levels
     k = 0
     while n_level > 0 and (max_hops is None or k < max_hops):
@@ -73,15 +83,16 @@ def hops_to(g: Graph, landmarks, max_hops: int | None = None, consolidate_every:
         cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark").distinct()
         visited = _union(done).select("id", "landmark")
         k += 1
-        level = cut_lineage(
-            cand.join(visited, ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k))
+        level, row = keeper.materialize(
+            cand.join(visited, ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k)), k
         )
-        n_level = level.count()
+        n_level = row["n"]
         if n_level:
             done.append(level)
         if len(done) > consolidate_every:
-            done = [cut_lineage(_union(done))]
-    return _union(done)
+            done = [keeper.checkpoint(_union(done))]
+            keeper.release(keep=(level,))
+    return keeper.finish(_union(done) if len(done) > 1 else done[0])
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +12,49 @@ from routegraph.sources import clean_routes
 from routegraph.sources import tpch
 
 
-@dataclass(frozen=True)
 class Network:
-    airports: DataFrame  # id, name, city, country, iata, icao, latitude, longitude
-    airlines: DataFrame  # airline_id, name, country, icao
-    routes: DataFrame  # airline_id, airport_source_id, airport_destination_id (raw)
+    """Three tables: airports (id, name, city, country, iata, icao, latitude, longitude),
+    airlines (airline_id, name, country, icao) and raw routes (airline_id,
+    airport_source_id, airport_destination_id). Each is given directly or built on first
+    use, so a question only declares the tables it reads."""
+
+    def __init__(self, airports=None, airlines=None, routes=None, *, loader=None) -> None:
+        self._given = {"airports": airports, "airlines": airlines, "routes": routes}
+        self._loader = loader
+
+    def _table(self, name: str) -> DataFrame:
+        df = self._given[name]
+        if df is None:
+            if self._loader is None:
+                raise ValueError(f"network has no {name} table")
+            df = self._given[name] = self._loader(name)
+        return df
+
+    @cached_property
+    def airports(self) -> DataFrame:
+        return self._table("airports")
+
+    @cached_property
+    def airlines(self) -> DataFrame:
+        return self._table("airlines")
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return self._table("routes")
 
     @classmethod
     def from_test_tables(cls, spark: SparkSession, sf_dir: str) -> "Network":
-        return cls(tpch.airports(spark, sf_dir), tpch.airlines(spark, sf_dir), tpch.routes(spark, sf_dir))
+        builders = {"airports": tpch.airports, "airlines": tpch.airlines, "routes": tpch.routes}
+        return cls(loader=lambda name: builders[name](spark, sf_dir))
+
+    @classmethod
+    def from_files(cls, spark: SparkSession, airports: str, airlines: str, routes: str,
+                   fmt: str = "csv") -> "Network":
+        """Route data files as the reference reads them (CSV with header, ``\\N`` = missing)."""
+        from routegraph.sources import read_airlines, read_airports, read_routes
+
+        return cls(read_airports(spark, airports, fmt), read_airlines(spark, airlines, fmt),
+                   read_routes(spark, routes, fmt))
 
     def clean_routes(self) -> DataFrame:
         return clean_routes(self.routes)
