@@ -14,10 +14,9 @@ stars, each centred on its component's minimum id. So the component label is the
 
 Each step is one aggregation (min per node: partial aggregation, skew-safe) and one
 equi-join on the node id (AQE splits a hub's partition), followed by ``distinct``. Each
-round is persisted and computed by one aggregate that hands the driver a fingerprint row
-(count, hash-sum) to detect the fixed point, which is then verified to be a star forest
-exactly; every ``checkpoint_every`` rounds and the result go to the reliable checkpoint
-dir (see ``lineage``).
+round is one job that writes the new edge set under the checkpoint dir (lineage cut) and
+returns its fingerprint (count, hash-sum) through an Observation on the write; an
+unchanged fingerprint is then verified to be a star forest exactly (see ``lineage``).
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.operators.graph import Graph
-from routegraph.operators.lineage import DEFAULT_CHECKPOINT_EVERY, RoundKeeper
+from routegraph.operators.lineage import RoundTables, fingerprint
 
 
 def _undirected(g: Graph) -> DataFrame:
@@ -59,34 +58,30 @@ def small_star(e: DataFrame) -> DataFrame:
     return to_min.unionByName(m.select("x", F.col("m").alias("y"))).distinct()
 
 
-def _fingerprint(e: DataFrame):
-    """One row (n, h): edge count and a hash sum; equal fingerprints mean an unchanged set."""
-    return e.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.xxhash64("x", "y") % (1 << 40)), F.lit(0)).alias("h"),
-    ).first()
-
-
 def _is_star_forest(e: DataFrame) -> bool:
-    """Every child has exactly one parent and no parent is itself a child."""
-    multi = e.groupBy("x").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
-    chained = e.join(e.select(F.col("x").alias("y")).distinct(), "y", "left_semi")
-    return multi.isEmpty() and chained.isEmpty()
+    """Every child has exactly one parent and no parent is itself a child (one job)."""
+    ends = e.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("x").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")),
+                F.struct(F.col("y").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")),
+            )
+        )
+    )
+    per = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
+    return per.filter((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0))).isEmpty()
 
 
-def star_forest(
-    g: Graph, max_rounds: int = 200, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY
-) -> tuple[DataFrame, int]:
+def star_forest(g: Graph, max_rounds: int = 200) -> tuple[DataFrame, int]:
     """(child x, centre y) pairs of the converged star forest, and the round count."""
-    keeper = RoundKeeper(checkpoint_every)
-    e, fp = keeper.materialize(_undirected(g), 0, summary=_fingerprint)
+    t = RoundTables(g.vertices.sparkSession, "components")
+    e, fp = t.write(_undirected(g), "round=0", fingerprint("x", "y"))
     for rnd in range(1, max_rounds + 1):
-        nxt, cur = keeper.materialize(small_star(large_star(e)), rnd, summary=_fingerprint)
-        keeper.release(keep=(nxt,))
-        if tuple(cur) == tuple(fp) and _is_star_forest(nxt):
-            return keeper.finish(nxt), rnd
+        nxt, cur = t.write(small_star(large_star(e)), f"round={rnd}", fingerprint("x", "y"))
+        t.delete(f"round={rnd - 1}")  # nothing reads it any more: nxt is read from its own files
+        if cur == fp and _is_star_forest(nxt):
+            return nxt, rnd
         e, fp = nxt, cur
-    keeper.release()
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 

@@ -1,75 +1,74 @@
-"""Lineage management for iterative operators.
-
-Each round of an iterative operator (hops, components) is materialised once: it is
-persisted and one aggregate action (a row count, or a fingerprint) computes it into the
-cache and hands the driver a single row. Every ``checkpoint_every`` rounds, and for the
-final result, the round is also written to the session's *reliable* checkpoint
-directory (shared storage on a cluster), which cuts the lineage: a lost executor then
-recomputes at most ``checkpoint_every`` rounds from cached or checkpointed parents, and
-the plan never grows with the round count.
+"""Round tables: how iterative operators cut lineage and learn their loop condition.
+
+Each round of an iterative operator (hops, components) is written as a Parquet table
+under the session's checkpoint directory (``spark.checkpoint.dir``: shared storage on a
+cluster) and read back for the next round. One job per round does three things:
+
+* computes the round and writes it: the lineage is cut at every round, so a lost
+  executor costs at most the current round and the plan never grows with the round count;
+* reports the loop condition through an ``Observation`` attached to that same write
+  (row count, or a count + hash-sum fingerprint): one small row reaches the driver, no
+  extra counting job, no cached blocks that an executor loss could take away;
+* leaves columnar files whose sizes the planner sees, so the next round's joins are
+  planned from real statistics (e.g. a small frontier is broadcast by Spark's own
+  size check).
+
+Intermediate tables that no later round references are deleted best-effort.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from routegraph.session import ensure_checkpoint_dir
 
-DEFAULT_CHECKPOINT_EVERY = 2
-
-
-def count_row(df: DataFrame) -> Row:
-    return df.agg(F.count(F.lit(1)).alias("n")).first()
-
-
-class RoundKeeper:
-    """Tracks the DataFrames an iterative operator has persisted, and releases them."""
-
-    def __init__(self, checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY) -> None:
-        self.checkpoint_every = max(1, int(checkpoint_every))
-        self._held: list[DataFrame] = []
-
-    def materialize(
-        self, df: DataFrame, rnd: int, summary: Callable[[DataFrame], Row] = count_row
-    ) -> tuple[DataFrame, Row]:
-        """Persist ``df``, compute it with one aggregate action, and checkpoint it on
-        every ``checkpoint_every``-th round. Returns the DataFrame to use next and the row."""
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-        row = summary(df)
-        if rnd % self.checkpoint_every == 0:
-            return self.checkpoint(df), row
-        self._held.append(df)
-        return df, row
-
-    def checkpoint(self, df: DataFrame) -> DataFrame:
-        """Reliable checkpoint (computed from the cache when ``df`` is persisted)."""
-        ensure_checkpoint_dir(df.sparkSession)
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = df.checkpoint(eager=True)
-        df.unpersist()
-        return out
-
-    def release(self, keep: tuple[DataFrame, ...] = ()) -> None:
-        """Unpersist every held round except those in ``keep``."""
-        kept = [df for df in self._held if any(df is k for k in keep)]
-        for df in self._held:
-            if not any(df is k for k in keep):
-                df.unpersist()
-        self._held = kept
-
-    def finish(self, df: DataFrame) -> DataFrame:
-        """Make ``df`` the checkpointed result and release everything else."""
-        if any(df is h for h in self._held):
-            self._held = [h for h in self._held if h is not df]
-            df = self.checkpoint(df)
-        self.release()
-        return df
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """One-off reliable checkpoint of ``df`` (persisted first, so it is computed once)."""
-    return RoundKeeper().checkpoint(df)
+
+def row_count() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n")]
+
+
+def fingerprint(*cols: str) -> list[Column]:
+    """Row count and a hash sum over ``cols``: equal fingerprints mean an unchanged set."""
+    h = F.xxhash64(*[F.col(c) for c in cols]) % (1 << 40)
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("h")]
+
+
+class RoundTables:
+    """Parquet tables for the rounds of one iterative run, under the checkpoint dir."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        self.root = f"{base}/routegraph-{name}-{uuid.uuid4().hex}"
+
+    def path(self, rel: str) -> str:
+        return f"{self.root}/{rel}"
+
+    def write(self, df: DataFrame, rel: str, metrics: list[Column]) -> tuple[DataFrame, dict]:
+        """Compute ``df`` into table ``rel`` in one job; return it re-read and the metrics."""
+        obs = Observation()
+        df.observe(obs, *metrics).write.mode("errorifexists").parquet(self.path(rel))
+        return self.read(rel, df.schema), obs.get
+
+    def read(self, rel: str, schema: StructType | str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(rel))
+
+    def delete(self, rel: str) -> None:
+        """Best-effort removal of a table no DataFrame reads any more."""
+        try:
+            jvm = self.spark._jvm  # Hadoop FileSystem: works for file://, hdfs://, s3a://...
+            p = jvm.org.apache.hadoop.fs.Path(self.path(rel))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - cleanup must never fail the operator
+            pass
+
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once under the checkpoint dir and return it read back (lineage cut)."""
+    t = RoundTables(df.sparkSession, name)
+    out, _ = t.write(df, "data", row_count())
+    return out

@@ -16,13 +16,11 @@ Per round:
   both sides shuffle and AQE splits skewed (hub) partitions.
 * candidates are de-duplicated (partial aggregation before the shuffle) and anti-joined
   with everything already visited.
-* the new level is persisted and counted (one action); every ``checkpoint_every`` levels
-  it is also written to the session's reliable checkpoint dir (lineage cut, so a lost
-  executor recomputes at most that many levels). The visited set is the union of the
-  levels, consolidated into one checkpoint every ``consolidate_every`` levels so the plan
-  stays small on deep graphs; the result is checkpointed and the cache released.
-The loop ends on an empty frontier (or ``max_hops``); one count per round reaches the
-driver.
+* the new level is written as partition ``level=k`` of one Parquet table under the
+  checkpoint dir (see ``lineage``): one job per level, lineage cut at every level, and the
+  level's row count comes back through an Observation on that write. The visited set is
+  simply the table so far, and the result is the whole table.
+The loop ends on an empty frontier (or ``max_hops``).
 """
 
 from __future__ import annotations
@@ -31,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.operators.graph import Graph
-from routegraph.operators.lineage import DEFAULT_CHECKPOINT_EVERY, RoundKeeper
+from routegraph.operators.lineage import RoundTables, row_count
 
 # Approximate in-memory bytes of one (id, landmark) frontier row, used against the
 # session's broadcast budget.
 _FRONTIER_ROW_BYTES = 48
+# Level tables are stored as <root>/levels/level=<k>; the level is the hop count.
+_LEVELS = "id bigint, landmark bigint, level int"
 
 
 def broadcast_budget_bytes(spark) -> int:
@@ -55,44 +55,30 @@ def _landmark_ids(g: Graph, landmarks) -> DataFrame:
     return v.filter(F.col("id").isin(list(landmarks)))
 
 
-def hops_to(
-    g: Graph,
-    landmarks,
-    max_hops: int | None = None,
-    consolidate_every: int = 8,
-    checkpoint_every: int = DEFAULT_CHECKPOINT_EVERY,
-) -> DataFrame:
+def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
     """(id, landmark, hops) for every vertex that can reach a landmark; hops is int."""
     spark = g.vertices.sparkSession
     budget = broadcast_budget_bytes(spark)
-    keeper = RoundKeeper(checkpoint_every)
-    rev = keeper.checkpoint(
-        g.real_edges().select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
+    t = RoundTables(spark, "hops")
+    rev, _ = t.write(
+        g.real_edges().select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(),
+        "edges",
+        row_count(),
     )
-    start = _landmark_ids(g, landmarks).select(
-        "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
-    )
-    level, row = keeper.materialize(start, 0)
-    n_level = row["n"]
-    done: list[DataFrame] = [level]  # consolidated visited set + recent levels
-    k = 0
+    start = _landmark_ids(g, landmarks).select("id", F.col("id").alias("landmark"))
+    level, m = t.write(start, "levels/level=0", row_count())
+    n_level, k = m["n"], 0
     while n_level > 0 and (max_hops is None or k < max_hops):
+        visited = t.read("levels", _LEVELS).select("id", "landmark")  # levels 0..k
         front = level.select(F.col("id").alias("dst"), "landmark")
         if 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
-            front = F.broadcast(front)
+            front = F.broadcast(front)  # exact row count known: proven size bound
         cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark").distinct()
-        visited = _union(done).select("id", "landmark")
         k += 1
-        level, row = keeper.materialize(
-            cand.join(visited, ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k)), k
-        )
-        n_level = row["n"]
-        if n_level:
-            done.append(level)
-        if len(done) > consolidate_every:
-            done = [keeper.checkpoint(_union(done))]
-            keeper.release(keep=(level,))
-    return keeper.finish(_union(done) if len(done) > 1 else done[0])
+        level, m = t.write(cand.join(visited, ["id", "landmark"], "left_anti"), f"levels/level={k}", row_count())
+        n_level = m["n"]
+    t.delete("edges")
+    return t.read("levels", _LEVELS).select("id", "landmark", F.col("level").alias("hops"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
