@@ -10,12 +10,17 @@ use edges whose two endpoints are vertices ("real" edges).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 
+# In-memory bytes per id of a broadcast hashed id set, used against the broadcast budget.
+_ID_ROW_BYTES = 32
+
+
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -37,6 +42,23 @@ class Graph:
     def vertex_ids(self) -> DataFrame:
         return self.vertices.select("id")
 
+    @cached_property
+    def _ids_broadcastable(self) -> bool:
+        """Exact check (one count job, once per Graph) that the id set fits the session's
+        broadcast threshold. Beyond it, id joins stay shuffle joins."""
+        from routegraph.operators.paths import broadcast_budget_bytes
+
+        budget = broadcast_budget_bytes(self.vertices.sparkSession)
+        if budget < 0:
+            return False
+        n = self.vertices.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+        return n * _ID_ROW_BYTES <= budget
+
+    def id_lookup(self) -> DataFrame:
+        """Vertex ids for existence joins, broadcast when their exact size allows it."""
+        ids = self.vertex_ids()
+        return F.broadcast(ids) if self._ids_broadcastable else ids
+
     def out_degrees(self) -> DataFrame:
         """(id, outDegree): edge rows per source, parallel/self-loop/dangling edges counted."""
         return self.edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("outDegree"))
@@ -65,7 +87,7 @@ class Graph:
 
     def real_edges(self) -> DataFrame:
         """Edges whose two endpoints are vertices (ids are unique, so inner joins never multiply)."""
-        v = self.vertex_ids()
+        v = self.id_lookup()
         return self.edges.join(v.withColumnRenamed("id", "src"), "src").join(
             v.withColumnRenamed("id", "dst"), "dst"
         ).select(*self.edges.columns)

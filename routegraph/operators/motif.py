@@ -112,7 +112,7 @@ def _edge_term(g: Graph, e: Edge, seeds: Seeds) -> DataFrame:
 
 
 def _exists(df: DataFrame, g: Graph, name: str) -> DataFrame:
-    return df.join(g.vertex_ids().withColumnRenamed("id", name), name)
+    return df.join(g.id_lookup().withColumnRenamed("id", name), name)
 
 
 def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep: list[str]):

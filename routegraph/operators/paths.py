@@ -14,8 +14,9 @@ Per round:
   exact row count is known from the previous round; when it fits the session broadcast
   budget it is broadcast (the edge table is then scanned without a shuffle), otherwise
   both sides shuffle and AQE splits skewed (hub) partitions.
-* candidates are de-duplicated (partial aggregation before the shuffle) and anti-joined
-  with everything already visited.
+* candidates are de-duplicated and filtered against everything already visited in one
+  aggregation over ``candidates UNION visited`` keyed by (id, landmark): a single exchange,
+  with partial aggregation collapsing duplicate candidates before it.
 * the new level is written as partition ``level=k`` of one Parquet table under the
   checkpoint dir (see ``lineage``): one job per level, lineage cut at every level, and the
   level's row count comes back through an Observation on that write. The visited set is
@@ -73,9 +74,17 @@ def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
         front = level.select(F.col("id").alias("dst"), "landmark")
         if 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
             front = F.broadcast(front)  # exact row count known: proven size bound
-        cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark").distinct()
+        cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark", F.lit(0).alias("seen"))
+        # de-duplicate candidates and drop visited pairs in ONE aggregation (one exchange)
+        new = (
+            cand.unionByName(visited.withColumn("seen", F.lit(1)))
+            .groupBy("id", "landmark")
+            .agg(F.max("seen").alias("seen"))
+            .filter(F.col("seen") == 0)
+            .drop("seen")
+        )
         k += 1
-        level, m = t.write(cand.join(visited, ["id", "landmark"], "left_anti"), f"levels/level={k}", row_count())
+        level, m = t.write(new, f"levels/level={k}", row_count())
         n_level = m["n"]
     t.delete("edges")
     return t.read("levels", _LEVELS).select("id", "landmark", F.col("level").alias("hops"))
