@@ -18,8 +18,9 @@ Plan shape
   name, so a seed filter (``seeds={"a": [5]}``) is pushed into the first edge scan and
   every later join is driven by a small input that AQE can broadcast at runtime.
 * ``count_matches`` is the aggregated form: it carries a multiplicity column and sums
-  away each vertex name as soon as no later term needs it, so counting 2-edge walks from
-  a hub never materialises the walks themselves.
+  away each vertex name as soon as no later term needs it (and, without seeds, reduces
+  each term to counts per join key before joining), so counting 2-edge walks -- from a
+  hub or over the whole graph -- never materialises the walks themselves.
 * Vertex-existence checks are inner joins with the (unique) vertex ids, so the smaller
   side can be broadcast whichever it is.
 """
@@ -116,24 +117,41 @@ def _exists(df: DataFrame, g: Graph, name: str) -> DataFrame:
 
 
 def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep: list[str]):
-    """Join the positive terms; with ``mult`` carry and pre-aggregate a multiplicity column."""
+    """Join the positive terms; with ``mult`` carry and pre-aggregate a multiplicity column.
+
+    In ``mult`` mode without seeds (whole-graph counting), each later term is first reduced
+    to counts per join key -- its new vertex names that nothing later needs are checked for
+    existence and summed away *before* the join -- so the join sees one row per key pair
+    instead of one per walk. With a seed the running side is already small, so terms are
+    joined as they are and aggregated right after.
+    """
     cur: DataFrame | None = None
     bound: list[str] = []
     for i, e in enumerate(order):
+        names = list(dict.fromkeys([e.src, e.dst]))
         term = _edge_term(g, e, seeds)
-        shared = [n for n in dict.fromkeys([e.src, e.dst]) if n in bound]
+        shared = [n for n in names if n in bound]
+        later = {n for t in order[i + 1 :] for n in (t.src, t.dst)} | set(keep)
         if cur is None:
             cur = term.withColumn("_m", F.lit(1).cast("bigint")) if mult else term
+        elif mult and not seeds:
+            new = [n for n in names if n not in bound]
+            for n in new:
+                term = _exists(term, g, n)
+            live_t = [n for n in names if n in bound or n in later]
+            t = term.groupBy(*live_t).agg(F.count(F.lit(1)).alias("_t"))
+            cur = cur.join(t, shared).withColumn("_m", F.col("_m") * F.col("_t")).drop("_t")
+            bound += [n for n in new if n in live_t]
+            names = []  # existence already checked on the term side
         else:
             cur = cur.join(term, shared)
-        for n in dict.fromkeys([e.src, e.dst]):
+        for n in names:
             if n not in bound:
                 cur = _exists(cur, g, n)
                 bound.append(n)
         if mult:
-            later = {n for t in order[i + 1 :] for n in (t.src, t.dst)} | set(keep)
             live = [n for n in bound if n in later]
-            if len(live) < len(bound):
+            if len(live) < len(bound) or i == 0:
                 cur = cur.groupBy(*live).agg(F.sum("_m").alias("_m"))
                 bound = live
     return cur, bound

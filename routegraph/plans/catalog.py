@@ -77,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "reach_in_1": _on_network(lambda n: R.reach_in_1(n, HUB)),
     "reach_out_1": _on_network(lambda n: R.reach_out_1(n, HUB)),
     "reach_out_2": _on_network(lambda n: R.reach_out_2(n, HUB)),
+    "two_flight_walks": _on_network(R.two_flight_walks),
     "motif_no_return": _on_network(lambda n: R.motif_no_return(n, NO_RETURN_ORIGIN)),
     "motif_struct_fields": _on_network(lambda n: R.motif_struct_fields(n, NO_RETURN_ORIGIN)),
     "no_return_counts": _on_network(lambda n: R.no_return_counts(n, NO_RETURN_ORIGIN)),

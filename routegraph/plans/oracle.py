@@ -206,6 +206,10 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT e2.dst AS id, count(*) AS n_walks
             FROM re e1 JOIN re e2 ON e1.dst = e2.src WHERE e1.src = {HUB} GROUP BY e2.dst"""
     ),
+    "two_flight_walks": _with(
+        """SELECT e1.src AS id, count(*) AS n_walks
+           FROM re e1 JOIN re e2 ON e1.dst = e2.src GROUP BY e1.src"""
+    ),
     "motif_no_return": _with("SELECT a, b, c FROM no_return"),
     "motif_struct_fields": _with(
         """SELECT pb.id AS b_id, pb.name AS b_name, pc.id AS c_id, pc.name AS c_name

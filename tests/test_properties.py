@@ -117,6 +117,10 @@ def test_hub_graph_counts(spark):
     assert got == dict(walks)
     total = count_matches(g, [Edge("a", "b"), Edge("b", "c")], keep=[]).first()["n_matches"]
     assert total == sum(len(out.get(b, [])) for a in list(out) for b in out[a])
+    per_origin = {r["a"]: r["n_matches"] for r in count_matches(
+        g, [Edge("a", "b"), Edge("b", "c")], keep=["a"]).collect()}
+    want = {a: sum(len(out.get(b, [])) for b in out[a]) for a in list(out)}
+    assert per_origin == {a: w for a, w in want.items() if w}
 
 
 @pytest.mark.parametrize("seed", [21, 22])
