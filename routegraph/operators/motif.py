@@ -201,6 +201,6 @@ def attach(df: DataFrame, g: Graph, name: str, columns: list[str] | None = None)
     cols = columns or g.vertices.columns
     if "id" not in cols:
         cols = ["id", *cols]
-    v = g.vertices.select(F.col("id").alias(f"__{name}"), F.struct(*cols).alias(f"__{name}_s"))
+    v = g.vertex_table(*cols).select(F.col("id").alias(f"__{name}"), F.struct(*cols).alias(f"__{name}_s"))
     out = df.join(v, df[name] == v[f"__{name}"])
     return out.select(*[F.col(f"__{name}_s").alias(name) if c == name else F.col(c) for c in df.columns])

@@ -25,6 +25,7 @@ A1,10,BBB,2,\\N,3
 A2,11,GGG,3,\\N,\\N
 A2,\\N,GGG,\\N,\\N,1
 A2,11,DDD,4,\\N,1
+A2,11,GGG,3,\\N,4
 """
 
 
@@ -41,8 +42,8 @@ def test_csv_readers_type_and_missing(spark, tmp_path):
     rows = {r["id"]: r for r in a.collect()}
     assert rows[2]["iata"] is None and rows[3]["icao"] is None and rows[3]["latitude"] is None
     r = read_routes(spark, _write(tmp_path, "routes.csv", ROUTES_CSV))
-    assert r.count() == 6
-    assert clean_routes(r).count() == 4  # "\N" endpoints dropped, NULL carrier kept
+    assert r.count() == 7
+    assert clean_routes(r).count() == 5  # "\N" endpoints dropped, NULL carrier kept
     assert read_airlines(spark, _write(tmp_path, "airlines.csv", AIRLINES_CSV)).count() == 2
 
 
@@ -54,7 +55,7 @@ def test_network_from_files_answers(spark, tmp_path):
         _write(tmp_path, "r.csv", ROUTES_CSV),
     )
     counts = R.route_counts_clean(net).first()
-    assert (counts["n_routes"], counts["n_clean"]) == (6, 4)
+    assert (counts["n_routes"], counts["n_clean"]) == (7, 5)
     # count(iata): the "\N" code of airport 2 is missing, so Landia has 1 coded airport
     per_country = {r["country"]: r["number_of_airports"] for r in R.countries_over(net, 0).collect()}
     assert per_country == {"Landia": 1, "Otherland": 2}
@@ -65,10 +66,10 @@ def test_network_from_files_answers(spark, tmp_path):
     lengths = {(r["src"], r["dst"]): r["distance_km"] for r in R.route_lengths(net).collect()}
     assert lengths[(1, 2)] == round(2186.1514575333313, 3)
     assert lengths[(2, 3)] is None  # NULL coordinate in, NULL out
-    # names are not unique: both "Alpha Airport" rows come back
+    # names are not unique: both "Alpha Airport" rows (each with in and out flights) come back
     assert {r["id"] for r in R.lookup_by_name(net, "Alpha Airport").collect()} == {1, 4}
     cities = {r["icao"]: r["n_cities"] for r in R.carriers_min_cities(net, 1).collect()}
-    assert cities == {"ONE": 3, "TWO": 2}
+    assert cities == {"ONE": 3, "TWO": 3}
 
 
 def test_parquet_reader(spark, tmp_path):
@@ -82,4 +83,4 @@ def test_parquet_reader(spark, tmp_path):
     net.routes.write.parquet(out)
     r = read_routes(spark, out, fmt="parquet")
     assert sorted(r.columns) == ["airline_id", "airport_destination_id", "airport_source_id"]
-    assert r.count() == 6
+    assert r.count() == 7
