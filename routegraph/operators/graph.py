@@ -10,29 +10,12 @@ use edges whose two endpoints are vertices ("real" edges).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 
-# In-memory bytes per id of a broadcast hashed id set, used against the broadcast budget.
-_ID_ROW_BYTES = 32
-# Conservative in-memory bytes per value by type (strings: assumed average length).
-_STRING_BYTES = 64
-_FIXED_BYTES = 8
-_ROW_OVERHEAD = 32
-
-
-def _row_bytes(df: DataFrame) -> int:
-    from pyspark.sql.types import StringType
-
-    return _ROW_OVERHEAD + sum(
-        _STRING_BYTES if isinstance(f.dataType, StringType) else _FIXED_BYTES for f in df.schema.fields
-    )
-
-
 @dataclass(frozen=True)
 class Graph:
     vertices: DataFrame
@@ -54,27 +37,15 @@ class Graph:
     def vertex_ids(self) -> DataFrame:
         return self.vertices.select("id")
 
-    @cached_property
-    def vertex_count(self) -> int:
-        """Exact number of vertices (one count job, once per Graph)."""
-        return self.vertices.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-
-    def _fits_broadcast(self, row_bytes: int) -> bool:
-        from routegraph.operators.paths import broadcast_budget_bytes
-
-        budget = broadcast_budget_bytes(self.vertices.sparkSession)
-        return budget >= 0 and self.vertex_count * row_bytes <= budget
-
     def id_lookup(self) -> DataFrame:
-        """Vertex ids for existence joins, broadcast when their exact size fits the session's
-        broadcast threshold; beyond it the join stays a shuffle join."""
-        ids = self.vertex_ids()
-        return F.broadcast(ids) if self._fits_broadcast(_ID_ROW_BYTES) else ids
+        """Vertex ids for existence joins. No static broadcast: the vertex table can be as
+        large as the edge table, and counting it first would cost a scan per query; AQE
+        turns the join into a broadcast at runtime when the measured side is small."""
+        return self.vertex_ids()
 
     def vertex_table(self, *cols: str) -> DataFrame:
-        """Vertex attributes for joins, broadcast under the same exact size check."""
-        df = self.vertices.select(*cols)
-        return F.broadcast(df) if self._fits_broadcast(_row_bytes(df)) else df
+        """Vertex attributes for joins (same reasoning as ``id_lookup``)."""
+        return self.vertices.select(*cols)
 
     def out_degrees(self) -> DataFrame:
         """(id, outDegree): edge rows per source, parallel/self-loop/dangling edges counted."""
