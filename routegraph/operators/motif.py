@@ -127,7 +127,9 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
     """
     cur: DataFrame | None = None
     bound: list[str] = []
+    grouped = False  # is ``cur`` already one row per ``bound`` combination?
     for i, e in enumerate(order):
+        grouped = False
         names = list(dict.fromkeys([e.src, e.dst]))
         term = _edge_term(g, e, seeds)
         shared = [n for n in names if n in bound]
@@ -153,8 +155,8 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
             live = [n for n in bound if n in later]
             if len(live) < len(bound) or i == 0:
                 cur = cur.groupBy(*live).agg(F.sum("_m").alias("_m"))
-                bound = live
-    return cur, bound
+                bound, grouped = live, True
+    return cur, bound, grouped
 
 
 def find(g: Graph, pattern, seeds: Seeds | None = None) -> DataFrame:
@@ -162,7 +164,7 @@ def find(g: Graph, pattern, seeds: Seeds | None = None) -> DataFrame:
     seeds = dict(seeds or {})
     pos, neg = _split(pattern)
     order = _order(pos, seeds)
-    cur, bound = _join_positive(g, order, seeds, mult=False, keep=[])
+    cur, bound, _ = _join_positive(g, order, seeds, mult=False, keep=[])
     vertex_names = list(dict.fromkeys(n for e in pos for n in (e.src, e.dst)))
     edge_names = [e.name for e in pos if e.name]
     if not neg:
@@ -192,7 +194,9 @@ def count_matches(g: Graph, pattern, keep, seeds: Seeds | None = None) -> DataFr
         if not any(n in (e.src, e.dst) for e in pos):
             raise ValueError(f"keep name {n!r} is not in the pattern")
     order = _order(pos, seeds)
-    cur, _ = _join_positive(g, order, seeds, mult=True, keep=keep)
+    cur, bound, grouped = _join_positive(g, order, seeds, mult=True, keep=keep)
+    if grouped and set(bound) == set(keep):
+        return cur.select(*keep, F.col("_m").alias("n_matches"))
     return cur.groupBy(*keep).agg(F.sum("_m").alias("n_matches"))
 
 
