@@ -31,7 +31,7 @@ def plan_text(df) -> str:
 
 
 def summarise(text: str) -> dict:
-    final = text.split("== Initial Plan ==")[0]
+    final = text.split("\n+- == Initial Plan ==")[0]  # top level only (subqueries nest their own)
     pushed = []
     for m in re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", final):
         rest = re.sub(r"IsNotNull\([^)]*\)(, )?", "", m).strip(", ")
