@@ -117,6 +117,28 @@ class Graph:
 
         return connected_components(self)
 
+    # ------------------------------------------- graph-library style aliases
+    # Same results as the methods above, under the names graph-frame users know.
+    @property
+    def outDegrees(self) -> DataFrame:  # noqa: N802
+        return self.out_degrees()
+
+    @property
+    def inDegrees(self) -> DataFrame:  # noqa: N802
+        return self.in_degrees()
+
+    def dropIsolatedVertices(self) -> "Graph":  # noqa: N802
+        return self.drop_isolated_vertices()
+
+    def connectedComponents(self) -> DataFrame:  # noqa: N802
+        return self.connected_components()
+
+    def shortestPaths(self, landmarks) -> DataFrame:  # noqa: N802
+        """Vertices with ``distances``: map landmark id -> hops (see ``paths.hops_map``)."""
+        from routegraph.operators.paths import hops_map, hops_to
+
+        return hops_map(self, hops_to(self, landmarks))
+
 
 def degree_ratio(g: Graph) -> DataFrame:
     """(id, inDegree, outDegree, ratio) for ids with both degrees > 0; ratio = out / in (double)."""

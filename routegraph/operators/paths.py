@@ -61,8 +61,12 @@ def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
     spark = g.vertices.sparkSession
     budget = broadcast_budget_bytes(spark)
     t = RoundTables(spark, "hops")
+    # Only the source needs the vertex check: the frontier only ever holds real vertices
+    # (landmarks are filtered to vertices, later levels are checked sources), so an edge
+    # whose destination is not a vertex can never be reached from it.
+    edges = g.edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
     rev, _ = t.write(
-        g.real_edges().select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(),
+        edges.join(g.id_lookup().withColumnRenamed("id", "src"), "src").distinct(),
         "edges",
         row_count(),
     )

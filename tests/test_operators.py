@@ -154,6 +154,30 @@ def test_dot_statements(hand_graph):
     assert len(lines) == 6
 
 
+def test_graph_library_aliases(hand_graph):
+    assert as_dict(hand_graph.outDegrees, "id", "outDegree")[1] == 3
+    assert as_dict(hand_graph.inDegrees, "id", "inDegree")[99] == 1
+    clean = hand_graph.dropIsolatedVertices()
+    assert as_dict(clean.connectedComponents(), "id", "component")[8] == 6
+    sp = {r["id"]: dict(r["distances"]) for r in hand_graph.shortestPaths([1]).collect()}
+    assert sp[5] == {1: 3} and sp[7] == {}
+
+
+def test_write_dot(hand_graph, tmp_path):
+    from routegraph.operators import write_dot
+
+    sub = hand_graph.subgraph(F.col("airline_id") == 12)
+    out = str(tmp_path / "g.dot")
+    write_dot(sub, out, edge_label="airline_id", vertex_label="name", name="carriers")
+    import glob
+
+    lines = []
+    for part in sorted(glob.glob(out + "/part-*")):
+        lines += open(part).read().splitlines()
+    assert lines[0] == "digraph carriers {" and lines[-1] == "}"
+    assert '"6" -> "8" [label="12"];' in lines and len(lines) == 8
+
+
 def test_graph_validation(spark):
     v = spark.createDataFrame([(1, "x")], "id bigint, name string")
     with pytest.raises(ValueError):
