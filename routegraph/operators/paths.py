@@ -14,19 +14,20 @@ Per round:
   exact row count is known from the previous round; when it fits the session broadcast
   budget it is broadcast (the edge table is then scanned without a shuffle), otherwise
   both sides shuffle and AQE splits skewed (hub) partitions.
-* candidates are de-duplicated and filtered against everything already visited in one
-  aggregation over ``candidates UNION visited`` keyed by (id, landmark): a single exchange,
-  with partial aggregation collapsing duplicate candidates before it.
-* the new level is written as partition ``level=k`` of one Parquet table under the
-  checkpoint dir (see ``lineage``): one job per level, lineage cut at every level, and the
-  level's row count comes back through an Observation on that write. The visited set is
-  simply the table so far, and the result is the whole table.
+* candidates are de-duplicated (partial aggregation before the shuffle) and anti-joined with
+  everything already visited. The visited set is one table *bucketed* by (id, landmark),
+  so only the candidates are shuffled into its buckets; the growing state never is.
+* the new level is appended to that table under the checkpoint dir (see ``lineage``): one
+  job per level, lineage cut at every level, and the level's row count comes back through
+  an Observation on that write. The result is the whole table.
 The loop ends on an empty frontier (or ``max_hops``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from routegraph.operators.graph import Graph
@@ -35,8 +36,7 @@ from routegraph.operators.lineage import RoundTables, row_count
 # Approximate in-memory bytes of one (id, landmark) frontier row, used against the
 # session's broadcast budget.
 _FRONTIER_ROW_BYTES = 48
-# Level tables are stored as <root>/levels/level=<k>; the level is the hop count.
-_LEVELS = "id bigint, landmark bigint, level int"
+_LEVELS = "id bigint, landmark bigint, hops int"
 
 
 def broadcast_budget_bytes(spark) -> int:
@@ -70,35 +70,65 @@ def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
         "edges",
         row_count(),
     )
-    start = _landmark_ids(g, landmarks).select("id", F.col("id").alias("landmark"))
-    level, m = t.write(start, "levels/level=0", row_count())
-    n_level, k = m["n"], 0
-    while n_level > 0 and (max_hops is None or k < max_hops):
-        visited = t.read("levels", _LEVELS).select("id", "landmark")  # levels 0..k
-        front = level.select(F.col("id").alias("dst"), "landmark")
-        if 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
-            front = F.broadcast(front)  # exact row count known: proven size bound
-        cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark", F.lit(0).alias("seen"))
-        # de-duplicate candidates and drop visited pairs in ONE aggregation (one exchange)
-        new = (
-            cand.unionByName(visited.withColumn("seen", F.lit(1)))
-            .groupBy("id", "landmark")
-            .agg(F.max("seen").alias("seen"))
-            .filter(F.col("seen") == 0)
-            .drop("seen")
+    visited = _VisitedTable(t)
+    try:
+        start = _landmark_ids(g, landmarks).select(
+            "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
+        )
+        n_level, k = visited.append(start), 0
+        while n_level > 0 and (max_hops is None or k < max_hops):
+            front = visited.level(k).select(F.col("id").alias("dst"), "landmark")
+            if 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
+                front = F.broadcast(front)  # exact row count known: proven size bound
+            cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark").distinct()
+            k += 1
+            new = cand.join(visited.keys(), ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k))
+            n_level = visited.append(new)
+        return visited.result()
+    finally:
+        visited.drop()
+        t.delete("edges")
+
+
+class _VisitedTable:
+    """The BFS state: one table of (id, landmark, hops) rows, *bucketed* by (id, landmark).
+
+    Each level is appended to it. Because Spark assigns buckets with the same hash as shuffle
+    partitions, the per-level anti-join shuffles only the new candidates into the table's
+    buckets; the visited set itself is never re-shuffled, however large it grows. The table
+    lives under the checkpoint dir (an external table: dropping it keeps the files).
+    """
+
+    def __init__(self, t: RoundTables) -> None:
+        self.spark = t.spark
+        self.path = t.path("visited")
+        self.name = f"routegraph_visited_{uuid.uuid4().hex}"
+        self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+    def append(self, df: DataFrame) -> int:
+        obs = Observation()
+        (
+            df.select("id", "landmark", F.col("hops").cast("int").alias("hops"))
+            .observe(obs, F.count(F.lit(1)).alias("n"))
+            .write.mode("append")
+            .bucketBy(self.buckets, "id", "landmark")
+            .option("path", self.path)
+            .saveAsTable(self.name)
         )
-        k += 1
-        level, m = t.write(new, f"levels/level={k}", row_count())
-        n_level = m["n"]
-    t.delete("edges")
-    return t.read("levels", _LEVELS).select("id", "landmark", F.col("level").alias("hops"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return obs.get["n"]
+
+    def keys(self) -> DataFrame:
+        return self.spark.table(self.name).select("id", "landmark")
+
+    def level(self, k: int) -> DataFrame:
+        # each level is its own files, so Parquet min/max statistics prune the others
+        return self.spark.table(self.name).filter(F.col("hops") == k)
+
+    def result(self) -> DataFrame:
+        return self.spark.read.schema(_LEVELS).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def hops_map(g: Graph, hops: DataFrame) -> DataFrame:
