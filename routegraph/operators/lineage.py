@@ -65,10 +65,3 @@ class RoundTables:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001 - cleanup must never fail the operator
             pass
-
-
-def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once under the checkpoint dir and return it read back (lineage cut)."""
-    t = RoundTables(df.sparkSession, name)
-    out, _ = t.write(df, "data", row_count())
-    return out
