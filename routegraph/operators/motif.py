@@ -75,6 +75,10 @@ def _split(pattern) -> tuple[list[Edge], list[Edge]]:
 
 def _order(pos: list[Edge], seeds: Seeds) -> list[Edge]:
     """Seeded term first, then terms connected to what is already bound."""
+    names = {n for e in pos for n in (e.src, e.dst)}
+    unknown = sorted(set(seeds) - names)
+    if unknown:
+        raise ValueError(f"seeds for names not in the pattern: {unknown}")
     rest = list(pos)
     start = next((e for e in rest if e.src in seeds or e.dst in seeds), rest[0])
     rest.remove(start)

@@ -99,6 +99,16 @@ def test_invalid_patterns(hand_graph):
         find(hand_graph, [Edge("a", "b"), Not(Edge("b", "z"))])  # unbound negation
     with pytest.raises(ValueError):
         count_matches(hand_graph, [Edge("a", "b"), Not(Edge("b", "a"))], keep=["a"])
+    with pytest.raises(ValueError):
+        find(hand_graph, [Edge("a", "b")], seeds={"x": [1]})  # seed for an unknown name
+
+
+def test_cycle_and_self_loop_terms(hand_graph):
+    # a -> b -> a: 2-cycles, with parallel edges counted (1->2 twice, 2->1 once)
+    cyc = count_matches(hand_graph, [Edge("a", "b"), Edge("b", "a")], keep=["a"])
+    assert as_dict(cyc, "a", "n_matches") == {1: 2, 2: 2, 3: 1, 5: 1, 8: 1}  # 8->8 binds a=b=8
+    loops = find(hand_graph, [Edge("a", "a")])
+    assert [r["a"] for r in loops.collect()] == [8]
 
 
 def test_hops(hand_graph):
