@@ -147,3 +147,21 @@ def test_degree_sums(spark):
     g = make_graph(spark, 30, edges)
     d = g.degrees().agg({"inDegree": "sum", "outDegree": "sum"}).first()
     assert d[0] == d[1] == len(edges)
+
+
+def test_haversine_symmetric_and_zero_on_diagonal(spark):
+    from pyspark.sql import functions as F
+
+    from routegraph.functions import haversine_km
+    from routegraph.sources import tpch
+
+    a = tpch.airports(spark, "/root/testdata/sf0.001").select("id", "latitude", "longitude")
+    b = a.select(F.col("id").alias("id2"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2"))
+    pairs = a.join(b, F.col("id2") == (F.col("id") * 7 + 3) % 150)
+    d = pairs.select(
+        haversine_km("latitude", "longitude", "lat2", "lon2").alias("ab"),
+        haversine_km("lat2", "lon2", "latitude", "longitude").alias("ba"),
+        haversine_km("latitude", "longitude", "latitude", "longitude").alias("aa"),
+    ).collect()
+    assert d and all(abs(r["ab"] - r["ba"]) < 1e-9 and r["aa"] == 0.0 for r in d)
+    assert all(0.0 <= r["ab"] <= 3.1415926536 * 6371.0 + 1e-6 for r in d)
