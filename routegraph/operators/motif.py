@@ -168,22 +168,52 @@ def find(g: Graph, pattern, seeds: Seeds | None = None) -> DataFrame:
     seeds = dict(seeds or {})
     pos, neg = _split(pattern)
     order = _order(pos, seeds)
-    cur, bound, _ = _join_positive(g, order, seeds, mult=False, keep=[])
     vertex_names = list(dict.fromkeys(n for e in pos for n in (e.src, e.dst)))
-    edge_names = [e.name for e in pos if e.name]
     if not neg:
-        return cur.select(*vertex_names, *edge_names)
-    cur = cur.select(*vertex_names).distinct()
-    for e in neg:
+        cur, _, _ = _join_positive(g, order, seeds, mult=False, keep=[])
+        return cur.select(*vertex_names, *[e.name for e in pos if e.name])
+    return _find_distinct(g, order, neg, seeds).select(*vertex_names)
+
+
+def _find_distinct(g: Graph, order: list[Edge], neg: list[Edge], seeds: Seeds) -> DataFrame:
+    """Distinct vertex bindings of a pattern with negations.
+
+    * Each negation is applied as soon as both of its names are bound, so it filters the
+      smallest possible intermediate (``!(b)->(a)`` prunes a->b pairs before the next join).
+    * Without seeds each positive term is reduced to distinct (src, dst) pairs first: a
+      binding then arises from exactly one pair per term, so the join output is already
+      distinct and no aggregation over the (large) joined result is needed. With seeds the
+      running result is small, so it is de-duplicated once at the end instead.
+    """
+    pending = list(neg)
+    cur: DataFrame | None = None
+    bound: list[str] = []
+    for e in order:
+        names = list(dict.fromkeys([e.src, e.dst]))
+        term = _edge_term(g, Edge(e.src, e.dst), seeds)
+        if not seeds:
+            term = term.distinct()
+        cur = term if cur is None else cur.join(term, [n for n in names if n in bound])
+        for n in names:
+            if n not in bound:
+                cur = _exists(cur, g, n)
+                bound.append(n)
+        for x in [x for x in pending if x.src in bound and x.dst in bound]:
+            pending.remove(x)
+            cur = cur.join(_negated_edges(g, x, seeds), list(dict.fromkeys([x.src, x.dst])), "left_anti")
+    return cur.distinct() if seeds else cur
+
+
+def _negated_edges(g: Graph, e: Edge, seeds: Seeds) -> DataFrame:
+    if e.src == e.dst:
+        other = g.edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias(e.src))
+    else:
         other = g.edges.select(F.col("src").alias(e.src), F.col("dst").alias(e.dst))
-        if e.src == e.dst:
-            other = g.edges.filter(F.col("src") == F.col("dst")).select(F.col("src").alias(e.src))
-        # A seeded endpoint shrinks the anti-join's right side to the seed's edges.
-        for n in dict.fromkeys([e.src, e.dst]):
-            if n in seeds:
-                other = _restrict(other, n, seeds[n])
-        cur = cur.join(other, list(dict.fromkeys([e.src, e.dst])), "left_anti")
-    return cur.select(*vertex_names)
+    # A seeded endpoint shrinks the anti-join's right side to the seed's edges.
+    for n in dict.fromkeys([e.src, e.dst]):
+        if n in seeds:
+            other = _restrict(other, n, seeds[n])
+    return other
 
 
 def count_matches(g: Graph, pattern, keep, seeds: Seeds | None = None) -> DataFrame:
