@@ -31,6 +31,10 @@ def local_session(cores: int | None = None, app: str = "routegraph") -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # keep the driver's status store small over long local runs (bench, test suites)
+        .config("spark.sql.ui.retainedExecutions", "50")
+        .config("spark.ui.retainedJobs", "200")
+        .config("spark.ui.retainedStages", "200")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
