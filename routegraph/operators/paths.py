@@ -25,6 +25,7 @@ The loop ends on an empty frontier (or ``max_hops``).
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, Observation
@@ -37,6 +38,8 @@ from routegraph.operators.lineage import RoundTables, row_count
 # session's broadcast budget.
 _FRONTIER_ROW_BYTES = 48
 _LEVELS = "id bigint, landmark bigint, hops int"
+# Target rows per bucket of the visited table (~16 bytes each: a few tens of MB per bucket).
+_ROWS_PER_BUCKET = 2_000_000
 
 
 def broadcast_budget_bytes(spark) -> int:
@@ -65,16 +68,18 @@ def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
     # (landmarks are filtered to vertices, later levels are checked sources), so an edge
     # whose destination is not a vertex can never be reached from it.
     edges = g.edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    rev, _ = t.write(
+    rev, m = t.write(
         edges.join(g.id_lookup().withColumnRenamed("id", "src"), "src").distinct(),
         "edges",
         row_count(),
     )
-    visited = _VisitedTable(t)
+    start = _landmark_ids(g, landmarks).select(
+        "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
+    )
+    n_landmarks = len(landmarks) if not isinstance(landmarks, DataFrame) else start.count()
+    # every visited (id, landmark) has id = a landmark or the source of a distinct edge
+    visited = _VisitedTable(t, max_rows=(m["n"] + n_landmarks) * n_landmarks)
     try:
-        start = _landmark_ids(g, landmarks).select(
-            "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
-        )
         n_level, k = visited.append(start), 0
         while n_level > 0 and (max_hops is None or k < max_hops):
             front = visited.level(k).select(F.col("id").alias("dst"), "landmark")
@@ -99,11 +104,14 @@ class _VisitedTable:
     lives under the checkpoint dir (an external table: dropping it keeps the files).
     """
 
-    def __init__(self, t: RoundTables) -> None:
+    def __init__(self, t: RoundTables, max_rows: int) -> None:
         self.spark = t.spark
         self.path = t.path("visited")
         self.name = f"routegraph_visited_{uuid.uuid4().hex}"
-        self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        # Buckets sized to the largest possible state (~_ROWS_PER_BUCKET rows each), capped at
+        # the session's shuffle partitions: small graphs get few files, big ones full width.
+        cap = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        self.buckets = max(1, min(cap, math.ceil(max_rows / _ROWS_PER_BUCKET)))
 
     def append(self, df: DataFrame) -> int:
         obs = Observation()
