@@ -131,6 +131,14 @@ def test_hops_max_and_unknown_landmark(hand_graph):
     assert hops_to(hand_graph, [99, 12345]).count() == 0  # not vertices
 
 
+def test_hops_landmarks_as_dataframe(hand_graph):
+    lm = hand_graph.vertices.filter(F.col("name").isin("Airport 1", "Airport 5")).select("id")
+    h = hops_to(hand_graph, lm)
+    assert {(r["id"], r["landmark"]): r["hops"] for r in h.collect()} == {
+        (r["id"], r["landmark"]): r["hops"] for r in hops_to(hand_graph, [1, 5]).collect()
+    }
+
+
 def test_hops_map(hand_graph):
     m = hops_map(hand_graph, hops_to(hand_graph, [1, 5]))
     d = {r["id"]: dict(r["distances"]) for r in m.collect()}
