@@ -48,7 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Order: the SparkContext's current dir, then ``spark.checkpoint.dir`` from the
     configuration, then (local master only) a fresh private temp dir.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: iterative graph operators need a directory on "
+                "storage shared by all executors (e.g. HDFS/S3)."
+            ) from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
