@@ -14,10 +14,12 @@ from routegraph.operators import (
     hops_map,
     hops_to,
 )
+from routegraph.plans.network import Network
 
 __all__ = [
     "Edge",
     "Graph",
+    "Network",
     "Not",
     "component_sizes",
     "connected_components",
