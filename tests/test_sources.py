@@ -84,3 +84,20 @@ def test_parquet_reader(spark, tmp_path):
     r = read_routes(spark, out, fmt="parquet")
     assert sorted(r.columns) == ["airline_id", "airport_destination_id", "airport_source_id"]
     assert r.count() == 7
+
+
+def test_graph_operators_on_csv_network(spark, tmp_path):
+    from routegraph.operators import connected_components, hops_to
+
+    net = Network.from_files(
+        spark,
+        _write(tmp_path, "a.csv", AIRPORTS_CSV),
+        _write(tmp_path, "l.csv", AIRLINES_CSV),
+        _write(tmp_path, "r.csv", ROUTES_CSV),
+    )
+    g = net.graph()
+    # clean edges: 1->2 (x2), 2->3, 4->1, 3->4
+    hops = {r["id"]: r["hops"] for r in hops_to(g, [1]).collect()}
+    assert hops == {1: 0, 4: 1, 3: 2, 2: 3}
+    comp = {r["id"]: r["component"] for r in connected_components(g).collect()}
+    assert comp == {1: 1, 2: 1, 3: 1, 4: 1}
