@@ -61,6 +61,8 @@ def _landmark_ids(g: Graph, landmarks) -> DataFrame:
 
 def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
     """(id, landmark, hops) for every vertex that can reach a landmark; hops is int."""
+    if not isinstance(landmarks, DataFrame):
+        landmarks = list(landmarks)  # ids; any iterable
     spark = g.vertices.sparkSession
     budget = broadcast_budget_bytes(spark)
     t = RoundTables(spark, "hops")
