@@ -40,6 +40,11 @@ def alnum_words(lowered: Column) -> Column:
     return F.array_remove(F.split(lowered, ALNUM_BREAK), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: lambdas would compute it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A new folder under the session's checkpoint directory (storage all executors share)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routegraph.llm.common import documents
+from routegraph.llm.common import benchmark, documents
+from routegraph.llm.decontaminate import OP6_SQL, op6_decontaminate
 from routegraph.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from routegraph.llm.licenses import op4_license_scan
 from routegraph.llm.mixing import OP3_SQL, op3_mixing
@@ -19,11 +20,13 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": lambda spark, sf: op1_sharding(documents(spark, sf)),
     "op3_mixing": lambda spark, sf: op3_mixing(documents(spark, sf)),
     "op4_license_scan": lambda spark, sf: op4_license_scan(documents(spark, sf)),
+    "op6_decontaminate": lambda spark, sf: op6_decontaminate(documents(spark, sf), benchmark(spark, sf)),
     "op8_exact_dedup": lambda spark, sf: op8_exact_dedup(documents(spark, sf)),
     "op10_secret_scan": lambda spark, sf: op10_secret_scan(documents(spark, sf)),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op6_decontaminate": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
