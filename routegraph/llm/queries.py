@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from routegraph.llm.common import benchmark, documents
 from routegraph.llm.decontaminate import OP6_SQL, op6_decontaminate
 from routegraph.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from routegraph.llm.kn_scoring import op7_lm_scoring
 from routegraph.llm.langid import op5_language_id
 from routegraph.llm.licenses import op4_license_scan
 from routegraph.llm.mixing import OP3_SQL, op3_mixing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op4_license_scan": lambda spark, sf: op4_license_scan(documents(spark, sf)),
     "op5_language_id": lambda spark, sf: op5_language_id(documents(spark, sf)),
     "op6_decontaminate": lambda spark, sf: op6_decontaminate(documents(spark, sf), benchmark(spark, sf)),
+    "op7_lm_scoring": lambda spark, sf: op7_lm_scoring(documents(spark, sf)),
     "op8_exact_dedup": lambda spark, sf: op8_exact_dedup(documents(spark, sf)),
     "op10_secret_scan": lambda spark, sf: op10_secret_scan(documents(spark, sf)),
 }
