@@ -13,6 +13,7 @@ from routegraph.llm.kn_scoring import op7_lm_scoring
 from routegraph.llm.langid import op5_language_id
 from routegraph.llm.licenses import op4_license_scan
 from routegraph.llm.mixing import OP3_SQL, op3_mixing
+from routegraph.llm.ngram_join import op2_ngram_join
 from routegraph.llm.secret_scan import op10_secret_scan
 from routegraph.llm.sharding import op1_sharding
 
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": lambda spark, sf: op1_sharding(documents(spark, sf)),
+    "op2_ngram_join": lambda spark, sf: op2_ngram_join(documents(spark, sf)),
     "op3_mixing": lambda spark, sf: op3_mixing(documents(spark, sf)),
     "op4_license_scan": lambda spark, sf: op4_license_scan(documents(spark, sf)),
     "op5_language_id": lambda spark, sf: op5_language_id(documents(spark, sf)),
