@@ -16,6 +16,7 @@ from routegraph.llm.mixing import OP3_SQL, op3_mixing
 from routegraph.llm.ngram_join import op2_ngram_join
 from routegraph.llm.secret_scan import op10_secret_scan
 from routegraph.llm.sharding import op1_sharding
+from routegraph.llm.suffix_dedup import op9_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontaminate": lambda spark, sf: op6_decontaminate(documents(spark, sf), benchmark(spark, sf)),
     "op7_lm_scoring": lambda spark, sf: op7_lm_scoring(documents(spark, sf)),
     "op8_exact_dedup": lambda spark, sf: op8_exact_dedup(documents(spark, sf)),
+    "op9_suffix_dedup": lambda spark, sf: op9_suffix_dedup(documents(spark, sf)),
     "op10_secret_scan": lambda spark, sf: op10_secret_scan(documents(spark, sf)),
 }
 
