@@ -230,18 +230,25 @@ def fit_models(train: DataFrame, key: str, text: str, lang: str, sample: int = S
     return model
 
 
-def predict(docs: DataFrame, model: KneserNey | None, text: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns with lang_pred, score, cross_entropy and rejected for every row."""
-    new = "lang_pred string, score double, cross_entropy double, rejected boolean"
+PREDICTED = ("lang_pred", "score", "cross_entropy", "rejected")
+
+
+def predict(
+    docs: DataFrame, model: KneserNey | None, text: str, keep: list[str], names: tuple[str, ...] = PREDICTED
+) -> DataFrame:
+    """The ``keep`` columns with language, score, cross-entropy and rejection for every row."""
+    kinds = ("string", "double", "double", "boolean")
     if model is None:
         none = [F.lit("und"), F.lit(0.0), F.lit(None).cast("double"), F.lit(True)]
-        return docs.select(*keep, *[c.alias(n.split()[0]) for c, n in zip(none, new.split(", "), strict=True)])
+        return docs.select(*keep, *[c.alias(n) for c, n in zip(none, names, strict=True)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*keep) if text in keep else docs.select(*keep, text)
+    place = kept.columns.index(text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             entropy, sizes = m.cross_entropies(texts)
             best = entropy.argmin(1)
             least = entropy[np.arange(len(best)), best]
@@ -251,17 +258,17 @@ def predict(docs: DataFrame, model: KneserNey | None, text: str, keep: list[str]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(keep)],
-                    pa.array([m.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]),
+                    pa.array([m.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], pa.string()),
                     pa.array(np.where(lettered, share, 0.0)),
                     pa.array(least, mask=~lettered),
                     pa.array(over),
                 ],
-                names=[*keep, "lang_pred", "score", "cross_entropy", "rejected"],
+                names=[*keep, *names],
             )
 
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return kept.mapInArrow(scan, f"{kinds}, {new}")
+    old = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    new = [f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)]
+    return kept.mapInArrow(scan, ", ".join([*old, *new]))
 
 
 def learnt(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> KneserNey | None:

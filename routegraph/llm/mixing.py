@@ -79,7 +79,7 @@ def place(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2,
     schedules: Sequence[Sequence[float]] = SCHEDULES, key: str = "doc_id", bucket_rows: int = 20_000,
 ) -> DataFrame:
-    """(key, source, size, source_size, target, taken, positions) for every row of ``docs``.
+    """(key, source, size, source_size, target, taken, positions, text_hash) for every row.
 
     ``positions`` has one training position per pass in which words of the row are taken;
     ``taken`` counts them, and the row at the end of a source's budget counts in part.
@@ -90,6 +90,7 @@ def place(
             F.col("source").cast("string").alias("_source"),
             F.regexp_count(text_or_empty(), F.lit(SPACE_WORD)).cast("long").alias("_size"),
             F.md5(F.encode(text_or_empty(), "UTF-8")).alias("_md5"),
+            F.xxhash64(text_or_empty()).alias("_hash"),
         )
         .withColumn("_src", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("null")))
         .withColumn("_order", F.md5(F.concat_ws(":", F.col("_key").cast("string"), F.col("_md5")))),
@@ -134,7 +135,7 @@ def place(
     return placed.withColumn("positions", F.array_compact(F.array(*passes))).select(
         F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size",
         F.round("target", 6).alias("target"), "taken", "positions",
-        F.col("_md5").alias("text_md5"),
+        F.col("_hash").alias("text_hash"),
     )
 
 

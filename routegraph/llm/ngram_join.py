@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import written
+from routegraph.llm.common import text_or_empty, written
 from routegraph.llm.kn_scoring import doc_chunks
 from routegraph.llm.links import roots, stars
 from routegraph.llm.packed import bucket_of, buckets_for, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes
@@ -46,7 +46,7 @@ TILE = 256
 SAMPLE = 0.4
 SIGNATURE_WORDS = 8
 
-ROWS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+ROWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 BLOB = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("about", pa.bool_()), ("data", pa.binary())])
 BLOB_DDL = "bucket int, chunk long, about boolean, data binary"
 
@@ -86,14 +86,14 @@ def _sampled(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def class_rows(docs: DataFrame) -> DataFrame:
-    """(key, n, cls) of rows (_key, _text)."""
+    """(key, hash, n, cls) of rows (_key, _hash, _text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (keys,), texts in doc_chunks(batches):
+        for _, (keys, hashes), texts in doc_chunks(batches):
             _, n, cls = gram_sets(texts)
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(n), pa.array(cls.view(np.int64))], schema=ROWS)
+            yield pa.RecordBatch.from_arrays([keys, hashes, pa.array(n), pa.array(cls.view(np.int64))], schema=ROWS)
 
-    return docs.mapInArrow(scan, "key long, n long, cls long")
+    return docs.mapInArrow(scan, "key long, hash long, n long, cls long")
 
 
 def gram_blobs(docs: DataFrame, n_buckets: int, share: float) -> DataFrame:
@@ -339,15 +339,22 @@ def linked_classes(blocks: DataFrame) -> DataFrame:
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tile: int = TILE, sample: float = SAMPLE) -> DataFrame:
-    """(key, n_shingles, component_id, n_links, class_id) for every row of ``docs``."""
+    """(key, n_shingles, component_id, n_links, class_id, text_hash, stays) for every row.
+
+    ``text_hash`` is xxhash64 of the text; ``stays`` marks the row of the smallest key (and
+    text hash) of every component, and all rows without grams.
+    """
     n_buckets = buckets_for(docs, text_bytes(docs, text))
-    body = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
+    body = docs.select(
+        F.col(key).cast("long").alias("_key"), F.xxhash64(text_or_empty(text)).alias("_hash"), F.col(text).alias("_text")
+    )
     rows = written(class_rows(body), "join-rows")
+    first = F.struct(F.col("key").isNull().alias("null"), "key", "hash")
     classes = written(
-        rows.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("low")), "join-classes"
+        rows.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("low")), "join-classes"
     )
     candidates = written(shared_counts(gram_blobs(body, n_buckets, sample)), "join-candidates")
-    wanted = classes.join(candidates, "cls", "left_semi").select(F.col("low").alias("_low")).distinct()
+    wanted = classes.join(candidates, "cls", "left_semi").select(F.col("low.key").alias("_low")).distinct()
     closer = body.join(wanted, F.col("_key").eqNullSafe(F.col("_low")), "left_semi")
     kept = written(candidate_grams(gram_blobs(closer, n_buckets, 1.0), n_buckets), "join-grams")
     groups = stars(chains(kept.filter("bucket >= 0")))
@@ -371,11 +378,13 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tile
     return rows.join(named_node, "cls", "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component.key")).otherwise(F.col("key")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         F.col("cls").alias("class_id"),
+        F.col("hash").alias("text_hash"),
+        ((F.col("n") == 0) | (F.col("key").eqNullSafe(F.col("component.key")) & (F.col("hash") == F.col("component.hash")))).alias("stays"),
     )
 
 
 def op2_ngram_join(docs: DataFrame) -> DataFrame:
-    return similar_texts(docs)
+    return similar_texts(docs).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
