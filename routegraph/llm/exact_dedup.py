@@ -125,8 +125,18 @@ def exact_copies(
         fingerprints(docs, key, text, moduli, size).withColumn("_row", F.monotonically_increasing_id()),
         "dedup-rows",
     )
-    shared = rows.groupBy(*print_of).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    members = rows.join(shared, print_of, "left_semi")
+    first = F.min(F.struct(-F.col("_chars"), F.col("_key").isNull(), F.col("_key"), F.col("_row")))
+
+    def grouped(group: list[str]) -> DataFrame:
+        sums = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size"), first.alias("_first"))
+        keep = [F.col("_first._key").alias("keep_id"), F.col("_first._row").alias("_kept")]
+        return written(sums.select(*group, "group_size", *keep), "dedup-groups")
+
+    # rows and groups are both written tables, so that a hot group's side of a join is one
+    # plain exchange, which Spark can split
+    group = print_of
+    groups = grouped(group)
+    members = rows.join(groups.filter("group_size > 1"), group, "left_semi")
     sharing = members.select(F.col("_key").alias("_member")).distinct()
     again = docs.select(key, text).join(sharing, F.col(key).eqNullSafe(F.col("_member")), "left_semi")
     compared = (
@@ -135,19 +145,12 @@ def exact_copies(
         .agg(F.min("_bytes").alias("_least"), F.max("_bytes").alias("_most"))
     )
     collided = written(compared.filter("_least != _most").select(*print_of).distinct(), "dedup-collided")
-    rows = (
-        rows.join(collided.withColumn("_hit", F.lit(True)), print_of, "left")
-        .withColumn("_told", F.when(F.col("_hit"), F.col("_sha")).otherwise(F.lit(b"")))
-        .drop("_hit")
-    )
-    group = [*print_of, "_told"]
-    first = F.min(F.struct(-F.col("_chars"), F.col("_key").isNull(), F.col("_key"), F.col("_row")))
-    groups = written(
-        rows.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("group_size"), first.alias("_first"))
-        .select(*group, "group_size", F.col("_first._key").alias("keep_id"), F.col("_first._row").alias("_kept")),
-        "dedup-groups",
-    )
+    if not collided.isEmpty():
+        told = F.when(F.col("_hit"), F.col("_sha")).otherwise(F.lit(b"")).alias("_told")
+        marked = rows.join(collided.withColumn("_hit", F.lit(True)), print_of, "left")
+        rows = written(marked.select("*", told).drop("_hit"), "dedup-told")
+        group = [*print_of, "_told"]
+        groups = grouped(group)
     return rows.join(groups, group).select(
         F.col("_key").alias(key),
         "keep_id",
