@@ -12,11 +12,14 @@ Both steps keep connectivity and the pair alternates until the edge set is a for
 stars, each centred on its component's minimum id. So the component label is the
 **minimum vertex id** of the component: deterministic and comparable across engines.
 
-Each step is one aggregation (min per node: partial aggregation, skew-safe) and one
-equi-join on the node id (AQE splits a hub's partition), followed by ``distinct``. Each
-round is one job that writes the new edge set under the checkpoint dir (lineage cut) and
-returns its fingerprint (count, hash-sum) through an Observation on the write; an
-unchanged fingerprint is then verified to be a star forest exactly (see ``lineage``).
+Each step is one aggregation (min per node, with partial aggregation) and one equi-join on
+the node id. As the rounds converge, a component's minimum neighbours every vertex of the
+component, so the joins must cope with such a hub. AQE splits a skewed partition only
+where a shuffle lies directly under each side of the join; the minima are an aggregate, so
+they are written as a table of their own first and both sides are plain scans.
+Each step is one job that writes its edge set under the checkpoint dir (lineage cut); a
+round returns its fingerprint (count, hash-sum) through an Observation on the write, and
+an unchanged fingerprint is then verified to be a star forest exactly (see ``lineage``).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.operators.graph import Graph
-from routegraph.operators.lineage import RoundTables, fingerprint
+from routegraph.operators.lineage import RoundTables, fingerprint, row_count
 
 
 # Relative error of the approximate distinct-children count observed each round (a trigger
@@ -40,26 +43,36 @@ def _undirected(g: Graph) -> DataFrame:
     ).distinct()
 
 
-def large_star(e: DataFrame) -> DataFrame:
-    nbr = e.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(
+def neighbours(e: DataFrame) -> DataFrame:
+    return e.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(
         e.select(F.col("y").alias("u"), F.col("x").alias("v"))
     )
-    m = nbr.groupBy("u").agg(F.min("v").alias("mv")).select(
-        "u", F.least(F.col("u"), F.col("mv")).alias("m")
-    )
+
+
+def large_minima(e: DataFrame) -> DataFrame:
+    """(u, m): the smallest id among every node and its neighbours."""
+    m = neighbours(e).groupBy("u").agg(F.min("v").alias("mv"))
+    return m.select("u", F.least(F.col("u"), F.col("mv")).alias("m"))
+
+
+def large_star(e: DataFrame, minima: DataFrame) -> DataFrame:
     # No distinct here: small-star only takes minima and ends with its own distinct,
     # so duplicate (v, m) pairs cost nothing but save one exchange per round.
-    return nbr.filter(F.col("v") > F.col("u")).join(m, "u").select(
+    return neighbours(e).filter(F.col("v") > F.col("u")).join(minima, "u").select(
         F.col("v").alias("x"), F.col("m").alias("y")
     )
 
 
-def small_star(e: DataFrame) -> DataFrame:
-    m = e.groupBy("x").agg(F.min("y").alias("m"))
-    to_min = e.join(m, "x").filter(F.col("y") != F.col("m")).select(
+def small_minima(e: DataFrame) -> DataFrame:
+    """(x, m): every node's smallest smaller neighbour."""
+    return e.groupBy("x").agg(F.min("y").alias("m"))
+
+
+def small_star(e: DataFrame, minima: DataFrame) -> DataFrame:
+    to_min = e.join(minima, "x").filter(F.col("y") != F.col("m")).select(
         F.col("y").alias("x"), F.col("m").alias("y")
     )
-    return to_min.unionByName(m.select("x", F.col("m").alias("y"))).distinct()
+    return to_min.unionByName(minima.select("x", F.col("m").alias("y"))).distinct()
 
 
 def _is_star_forest(e: DataFrame) -> bool:
@@ -76,31 +89,56 @@ def _is_star_forest(e: DataFrame) -> bool:
     return per.filter((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0))).isEmpty()
 
 
-def star_forest(g: Graph, max_rounds: int = 200) -> tuple[DataFrame, int]:
-    """(child x, centre y) pairs of the converged star forest, and the round count."""
-    t = RoundTables(g.vertices.sparkSession, "components")
+def star_forest(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+    """(child x, centre y) pairs of the converged star forest, and the round count.
+
+    ``edges`` are distinct pairs x > y. Without ``max_rounds`` the rounds run until they
+    converge; with it, a run that needs more raises ``RuntimeError``.
+    """
+    t = RoundTables(edges.sparkSession, "components")
     metrics = [*fingerprint("x", "y"), F.approx_count_distinct("x", _RSD).alias("children")]
-    e, fp = t.write(_undirected(g), "round=0", metrics)
-    for rnd in range(1, max_rounds + 1):
-        nxt, cur = t.write(small_star(large_star(e)), f"round={rnd}", metrics)
-        t.delete(f"round={rnd - 1}")  # nothing reads it any more: nxt is read from its own files
-        unchanged = (cur["n"], cur["h"]) == (fp["n"], fp["h"])
-        # A star forest has one edge per child. When the (approximate) number of distinct
-        # children is that close to the edge count, try the exact check one round early.
-        one_parent_each = cur["children"] >= (1 - 3 * _RSD) * cur["n"]
-        if (unchanged or one_parent_each) and _is_star_forest(nxt):
-            return nxt, rnd
-        e, fp = nxt, cur
-    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-
-
-def connected_components(g: Graph) -> DataFrame:
+    kept: list[str] = []
+
+    def write(df: DataFrame, rel: str, what=None) -> tuple[DataFrame, dict]:
+        kept.append(rel)
+        return t.write(df, rel, what or row_count())
+
+    def forget(but: str) -> None:
+        for rel in [r for r in kept if r != but]:
+            t.delete(rel)
+            kept.remove(rel)
+
+    try:
+        e, fp = write(edges, "round=0", metrics)
+        rnd = 0
+        while max_rounds is None or rnd < max_rounds:
+            rnd += 1
+            least, _ = write(large_minima(e), f"large-minima={rnd}")
+            large, _ = write(large_star(e, least), f"large={rnd}")
+            least, _ = write(small_minima(large), f"small-minima={rnd}")
+            nxt, cur = write(small_star(large, least), f"round={rnd}", metrics)
+            forget(f"round={rnd}")  # nothing reads the others any more
+            unchanged = (cur["n"], cur["h"]) == (fp["n"], fp["h"])
+            # A star forest has one edge per child. When the (approximate) number of distinct
+            # children is that close to the edge count, try the exact check one round early.
+            one_parent_each = cur["children"] >= (1 - 3 * _RSD) * cur["n"]
+            if (unchanged or one_parent_each) and _is_star_forest(nxt):
+                t.drop_at_exit()
+                return nxt, rnd
+            e, fp = nxt, cur
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+    except BaseException:
+        t.drop()
+        raise
+
+
+def connected_components(g: Graph, max_rounds: int | None = None) -> DataFrame:
     """(id, component) for every vertex; component = smallest id in its weak component.
 
     A vertex without edges to other vertices (isolated, or only self-loops / dangling
     edges) is its own component.
     """
-    stars, _ = star_forest(g)
+    stars, _ = star_forest(_undirected(g), max_rounds)
     return (
         g.vertex_ids()
         .join(stars.select(F.col("x").alias("id"), F.col("y").alias("component")), "id", "left")
@@ -108,6 +146,24 @@ def connected_components(g: Graph) -> DataFrame:
     )
 
 
+def components_of_pairs(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, component) of the vertices that occur in ``pairs`` (src, dst).
+
+    The distinct pairs are written once and serve both the rounds and the final choice of
+    ids, so the edges are derived a single time.
+    """
+    t = RoundTables(pairs.sparkSession, "pairs")
+    try:
+        edges, _ = t.write(pairs.select("src", "dst").distinct(), "pairs", row_count())
+        g = Graph(vertices.select("id"), edges)
+        found = connected_components(g).join(g.endpoint_ids(), "id", "left_semi")
+    except BaseException:
+        t.drop()
+        raise
+    t.drop_at_exit()
+    return found
+
+
 def component_sizes(components: DataFrame, min_size: int = 1) -> DataFrame:
     """(component, size) for components with at least ``min_size`` vertices."""
     return (

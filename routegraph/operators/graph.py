@@ -55,11 +55,13 @@ class Graph:
         """(id, inDegree): edge rows per destination."""
         return self.edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("inDegree"))
 
-    def degrees(self) -> DataFrame:
+    def degrees(self, ids: DataFrame | None = None) -> DataFrame:
         """(id, inDegree, outDegree) in ONE pass over the edges (one shuffle, not two plus a join).
 
         Each edge row emits (src, out=1) and (dst, in=1); partial aggregation collapses a hub
-        before the shuffle, so a hot airport costs one row per map task.
+        before the shuffle, so a hot airport costs one row per map task. With ``ids`` (a
+        DataFrame with an ``id`` column) only those are counted: the other edge ends go
+        before the aggregation.
         """
         ends = self.edges.select(
             F.inline(
@@ -69,6 +71,8 @@ class Graph:
                 )
             )
         )
+        if ids is not None:
+            ends = ends.join(ids.select("id"), "id", "left_semi")
         return ends.groupBy("id").agg(
             F.sum("i").cast("bigint").alias("inDegree"), F.sum("o").cast("bigint").alias("outDegree")
         )
@@ -118,7 +122,7 @@ class Graph:
         return connected_components(self)
 
     # ------------------------------------------- graph-library style aliases
-    # Same results as the methods above, under the names graph-frame users know.
+    # Fixed names of the public graph-library API, with its result shapes.
     @property
     def outDegrees(self) -> DataFrame:  # noqa: N802
         return self.out_degrees()
@@ -131,7 +135,8 @@ class Graph:
         return self.drop_isolated_vertices()
 
     def connectedComponents(self) -> DataFrame:  # noqa: N802
-        return self.connected_components()
+        """Vertices with all their columns and ``component``."""
+        return self.vertices.join(self.connected_components(), "id")
 
     def shortestPaths(self, landmarks) -> DataFrame:  # noqa: N802
         """Vertices with ``distances``: map landmark id -> hops (see ``paths.hops_map``)."""
@@ -140,7 +145,7 @@ class Graph:
         return hops_map(self, hops_to(self, landmarks))
 
 
-def degree_ratio(g: Graph) -> DataFrame:
+def degree_ratio(g: Graph, ids: DataFrame | None = None) -> DataFrame:
     """(id, inDegree, outDegree, ratio) for ids with both degrees > 0; ratio = out / in (double)."""
-    d = g.degrees().filter((F.col("inDegree") > 0) & (F.col("outDegree") > 0))
+    d = g.degrees(ids).filter((F.col("inDegree") > 0) & (F.col("outDegree") > 0))
     return d.withColumn("ratio", F.col("outDegree").cast("double") / F.col("inDegree"))

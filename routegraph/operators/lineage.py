@@ -13,19 +13,25 @@ cluster) and read back for the next round. One job per round does three things:
   planned from real statistics (e.g. a small frontier is broadcast by Spark's own
   size check).
 
-Intermediate tables that no later round references are deleted best-effort.
+Ownership: tables that no later round reads are deleted at once, also when a round fails.
+The last table is what the operator returns; its folder goes when the application ends, or
+earlier by ``RoundTables.drop`` of the caller that no longer reads the result.
 """
 
 from __future__ import annotations
 
+import logging
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from routegraph.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 
 def row_count() -> list[Column]:
     return [F.count(F.lit(1)).alias("n")]
@@ -57,11 +63,30 @@ class RoundTables:
     def read(self, rel: str, schema: StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(rel))
 
-    def delete(self, rel: str) -> None:
-        """Best-effort removal of a table no DataFrame reads any more."""
+    def _on_path(self, path: str, action: str) -> None:
+        # Hadoop FileSystem: works for file://, hdfs://, s3a://...
+        jvm = getattr(self.spark, "_jvm", None)
+        if jvm is None:  # a remote session has no JVM here: its folders are left behind
+            log.warning("%s stays: no access to its file system", path)
+            return
         try:
-            jvm = self.spark._jvm  # Hadoop FileSystem: works for file://, hdfs://, s3a://...
-            p = jvm.org.apache.hadoop.fs.Path(self.path(rel))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - cleanup must never fail the operator
-            pass
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if action == "now":
+                fs.delete(p, True)
+            else:
+                fs.deleteOnExit(p)
+        except Py4JError as e:  # cleanup must not fail the operator, but must not be silent
+            log.warning("%s could not be removed: %s", path, e)
+
+    def delete(self, rel: str) -> None:
+        """Remove a table that no DataFrame reads any more."""
+        self._on_path(self.path(rel), "now")
+
+    def drop(self) -> None:
+        """Remove everything of this run."""
+        self._on_path(self.root, "now")
+
+    def drop_at_exit(self) -> None:
+        """Remove what is left of this run when the application ends."""
+        self._on_path(self.root, "exit")

@@ -35,6 +35,10 @@ from pyspark.sql import functions as F
 from routegraph.operators.graph import Graph
 
 
+# Tasks over which a hub's rows are dealt in whole-graph counting.
+_SALTS = 8
+
+
 @dataclass(frozen=True)
 class Edge:
     src: str
@@ -139,14 +143,18 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
         shared = [n for n in names if n in bound]
         later = {n for t in order[i + 1 :] for n in (t.src, t.dst)} | set(keep)
         if cur is None:
-            cur = term.withColumn("_m", F.lit(1).cast("bigint")) if mult else term
+            cur = term.groupBy(*names).agg(F.count(F.lit(1)).alias("_m")) if mult else term
         elif mult and not seeds:
             new = [n for n in names if n not in bound]
+            # one row per pair of vertices, whatever the number of parallel edges, before
+            # the vertex checks
+            t = term.groupBy(*names).agg(F.count(F.lit(1)).alias("_t"))
             for n in new:
-                term = _exists(term, g, n)
+                t = _exists(t, g, n)
             live_t = [n for n in names if n in bound or n in later]
-            t = term.groupBy(*live_t).agg(F.count(F.lit(1)).alias("_t"))
-            cur = cur.join(t, shared).withColumn("_m", F.col("_m") * F.col("_t")).drop("_t")
+            if len(live_t) < len(names):
+                t = t.groupBy(*live_t).agg(F.sum("_t").alias("_t"))
+            cur = _salted_join(cur, t, shared).withColumn("_m", F.col("_m") * F.col("_t")).drop("_t")
             bound += [n for n in new if n in live_t]
             names = []  # existence already checked on the term side
         else:
@@ -163,6 +171,18 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
     return cur, bound, grouped
 
 
+def _salted_join(cur: DataFrame, t: DataFrame, shared: list[str]) -> DataFrame:
+    """``cur`` joined with the per-key counts ``t``, the rows of a hub dealt to _SALTS tasks.
+
+    Both sides are aggregates, so AQE cannot split a skewed key here; ``t`` has one row per
+    key combination and is repeated for every salt instead.
+    """
+    rest = [c for c in cur.columns if c not in shared]
+    left = cur.withColumn("_s", F.pmod(F.xxhash64(*rest), F.lit(_SALTS)).cast("int"))
+    right = t.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return left.join(right, [*shared, "_s"]).drop("_s")
+
+
 def find(g: Graph, pattern, seeds: Seeds | None = None) -> DataFrame:
     """All matches of ``pattern`` as rows of vertex-id columns (plus named edge structs)."""
     seeds = dict(seeds or {})
@@ -180,10 +200,11 @@ def _find_distinct(g: Graph, order: list[Edge], neg: list[Edge], seeds: Seeds) -
 
     * Each negation is applied as soon as both of its names are bound, so it filters the
       smallest possible intermediate (``!(b)->(a)`` prunes a->b pairs before the next join).
-    * Without seeds each positive term is reduced to distinct (src, dst) pairs first: a
-      binding then arises from exactly one pair per term, so the join output is already
-      distinct and no aggregation over the (large) joined result is needed. With seeds the
-      running result is small, so it is de-duplicated once at the end instead.
+    * Each positive term is reduced to distinct (src, dst) pairs before its join: a binding
+      then arises from exactly one pair per term, parallel edges never multiply, and the
+      join output is distinct without an aggregation over it. With seeds, a later term
+      first keeps only the edges at vertices that the terms before it bound, so the whole
+      edge set is neither shuffled for the distinct nor for the join.
     """
     pending = list(neg)
     cur: DataFrame | None = None
@@ -191,9 +212,11 @@ def _find_distinct(g: Graph, order: list[Edge], neg: list[Edge], seeds: Seeds) -
     for e in order:
         names = list(dict.fromkeys([e.src, e.dst]))
         term = _edge_term(g, Edge(e.src, e.dst), seeds)
-        if not seeds:
-            term = term.distinct()
-        cur = term if cur is None else cur.join(term, [n for n in names if n in bound])
+        shared = [n for n in names if n in bound]
+        if seeds and cur is not None:
+            term = term.join(cur.select(*shared).distinct(), shared, "left_semi")
+        term = term.distinct()
+        cur = term if cur is None else cur.join(term, shared)
         for n in names:
             if n not in bound:
                 cur = _exists(cur, g, n)
@@ -201,7 +224,7 @@ def _find_distinct(g: Graph, order: list[Edge], neg: list[Edge], seeds: Seeds) -
         for x in [x for x in pending if x.src in bound and x.dst in bound]:
             pending.remove(x)
             cur = cur.join(_negated_edges(g, x, seeds), list(dict.fromkeys([x.src, x.dst])), "left_anti")
-    return cur.distinct() if seeds else cur
+    return cur
 
 
 def _negated_edges(g: Graph, e: Edge, seeds: Seeds) -> DataFrame:

@@ -12,14 +12,21 @@ all rounds, not per round.
 Per round:
 * frontier (id, landmark) joins the distinct reverse edges on ``dst = id``. The frontier's
   exact row count is known from the previous round; when it fits the session broadcast
-  budget it is broadcast (the edge table is then scanned without a shuffle), otherwise
-  both sides shuffle and AQE splits skewed (hub) partitions.
-* candidates are de-duplicated (partial aggregation before the shuffle) and anti-joined with
-  everything already visited. The visited set is one table *bucketed* by (id, landmark),
-  so only the candidates are shuffled into its buckets; the growing state never is.
+  budget it is broadcast. Otherwise only the frontier is shuffled: the edges are a table
+  bucketed by ``dst`` (and by a salt, which spreads the edges of a vertex that has more
+  than ``hub_edges`` of them over several buckets; the frontier's rows of such vertices
+  are repeated for each salt).
+* candidates are shuffled once, into the buckets of the visited set, de-duplicated there
+  and anti-joined with it. The visited set is one table bucketed by (id, landmark) and is
+  not shuffled. Spark reads a table by buckets only if it has at least as many of them as
+  the session's shuffle partitions, so there are never fewer; more follow the state's size.
 * the new level is appended to that table under the checkpoint dir (see ``lineage``): one
   job per level, lineage cut at every level, and the level's row count comes back through
   an Observation on that write. The result is the whole table.
+
+Bucketed tables need a catalog entry: a run creates two external tables in the session's
+current database, or in the one that ``database`` names, and drops both when it ends. A
+driver that dies leaves the entries behind.
 The loop ends on an empty frontier (or ``max_hops``).
 """
 
@@ -37,9 +44,10 @@ from routegraph.operators.lineage import RoundTables, row_count
 # Approximate in-memory bytes of one (id, landmark) frontier row, used against the
 # session's broadcast budget.
 _FRONTIER_ROW_BYTES = 48
-_LEVELS = "id bigint, landmark bigint, hops int"
-# Target rows per bucket of the visited table (~16 bytes each: a few tens of MB per bucket).
+# Target rows per bucket of the bucketed tables (~16 bytes each: a few tens of MB per bucket).
 _ROWS_PER_BUCKET = 2_000_000
+# Edges into one vertex from which on they are spread over several buckets.
+_HUB_EDGES = 1_000_000
 
 
 def broadcast_budget_bytes(spark) -> int:
@@ -59,7 +67,10 @@ def _landmark_ids(g: Graph, landmarks) -> DataFrame:
     return v.filter(F.col("id").isin(list(landmarks)))
 
 
-def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
+def hops_to(
+    g: Graph, landmarks, max_hops: int | None = None, *, database: str | None = None,
+    rows_per_bucket: int = _ROWS_PER_BUCKET, hub_edges: int = _HUB_EDGES,
+) -> DataFrame:
     """(id, landmark, hops) for every vertex that can reach a landmark; hops is int."""
     if not isinstance(landmarks, DataFrame):
         landmarks = list(landmarks)  # ids; any iterable
@@ -70,72 +81,109 @@ def hops_to(g: Graph, landmarks, max_hops: int | None = None) -> DataFrame:
     # (landmarks are filtered to vertices, later levels are checked sources), so an edge
     # whose destination is not a vertex can never be reached from it.
     edges = g.edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    rev, m = t.write(
-        edges.join(g.id_lookup().withColumnRenamed("id", "src"), "src").distinct(),
-        "edges",
-        row_count(),
-    )
-    start = _landmark_ids(g, landmarks).select(
-        "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
-    )
-    n_landmarks = len(landmarks) if not isinstance(landmarks, DataFrame) else start.count()
-    # every visited (id, landmark) has id = a landmark or the source of a distinct edge
-    visited = _VisitedTable(t, max_rows=(m["n"] + n_landmarks) * n_landmarks)
+    tables = []
     try:
-        n_level, k = visited.append(start), 0
+        rev, m = t.write(
+            edges.join(g.id_lookup().withColumnRenamed("id", "src"), "src").distinct(), "edges", row_count()
+        )
+        start = _landmark_ids(g, landmarks).select(
+            "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
+        )
+        n_landmarks = len(landmarks) if not isinstance(landmarks, DataFrame) else start.count()
+        hubs, h = t.write(
+            rev.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_edges)
+            .select("dst", F.ceil(F.col("n") / hub_edges).cast("int").alias("salts")),
+            "hubs", row_count(),
+        )
+        ways, by = rev, ["dst"]
+        if h["n"]:
+            by = ["dst", "salt"]
+            salts = F.coalesce("salts", F.lit(1))
+            ways = rev.join(_fitting(hubs, h["n"], budget), "dst", "left").select(
+                "src", "dst", F.pmod(F.xxhash64("src"), salts).cast("int").alias("salt")
+            )
+        back = BucketedTable(t, "edges_by_dst", by, m["n"], database, rows_per_bucket)
+        tables.append(back)
+        back.append(ways)
+        # every visited (id, landmark) has id = a landmark or the source of a distinct edge
+        visited = BucketedTable(
+            t, "visited", ["id", "landmark"], (m["n"] + n_landmarks) * n_landmarks, database, rows_per_bucket
+        )
+        tables.append(visited)
+        n_level, k = visited.append(start.select("id", "landmark", F.col("hops").cast("int").alias("hops"))), 0
         while n_level > 0 and (max_hops is None or k < max_hops):
-            front = visited.level(k).select(F.col("id").alias("dst"), "landmark")
-            if 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
+            front = visited.table().filter(F.col("hops") == k)  # Parquet statistics prune other levels
+            front = front.select(F.col("id").alias("dst"), "landmark")
+            if h["n"]:
+                front = front.join(_fitting(hubs, h["n"], budget), "dst", "left")
+                salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+                front = front.select("dst", "landmark", F.explode(salts).alias("salt"))
+            elif 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
                 front = F.broadcast(front)  # exact row count known: proven size bound
-            cand = rev.join(front, "dst").select(F.col("src").alias("id"), "landmark").distinct()
             k += 1
-            new = cand.join(visited.keys(), ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k))
-            n_level = visited.append(new)
-        return visited.result()
+            n_level = visited.append(new_level(back, front, visited, k), arranged=True)
+        result = visited.files("id bigint, landmark bigint, hops int")
+        t.drop_at_exit()
+        return result
+    except BaseException:
+        t.drop()
+        raise
     finally:
-        visited.drop()
+        for table in tables:
+            table.drop()
         t.delete("edges")
+        t.delete("hubs")
+        t.delete("edges_by_dst")
+
+
+def _fitting(df: DataFrame, rows: int, budget: int) -> DataFrame:
+    """``df`` broadcast if its counted rows fit the session's broadcast budget."""
+    return F.broadcast(df) if 0 <= budget and rows * _FRONTIER_ROW_BYTES <= budget else df
 
 
-class _VisitedTable:
-    """The BFS state: one table of (id, landmark, hops) rows, *bucketed* by (id, landmark).
+def new_level(back: "BucketedTable", front: DataFrame, visited: "BucketedTable", k: int) -> DataFrame:
+    """(id, landmark, hops = k): sources of edges into the frontier that were not visited."""
+    reached = back.table().join(front, back.keys).select(F.col("src").alias("id"), "landmark")
+    cand = reached.repartition(visited.buckets, "id", "landmark").distinct()
+    seen = visited.table().select("id", "landmark")
+    return cand.join(seen, ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k).cast("int"))
 
-    Each level is appended to it. Because Spark assigns buckets with the same hash as shuffle
-    partitions, the per-level anti-join shuffles only the new candidates into the table's
-    buckets; the visited set itself is never re-shuffled, however large it grows. The table
-    lives under the checkpoint dir (an external table: dropping it keeps the files).
+
+class BucketedTable:
+    """A table under the checkpoint dir, bucketed by ``keys`` and appended to.
+
+    Spark assigns buckets with the hash of a shuffle, so a join on the keys shuffles only
+    its other side, provided the table has no fewer buckets than the session has shuffle
+    partitions. It is an external table: dropping it keeps the files.
     """
 
-    def __init__(self, t: RoundTables, max_rows: int) -> None:
-        self.spark = t.spark
-        self.path = t.path("visited")
-        self.name = f"routegraph_visited_{uuid.uuid4().hex}"
-        # Buckets sized to the largest possible state (~_ROWS_PER_BUCKET rows each), capped at
-        # the session's shuffle partitions: small graphs get few files, big ones full width.
-        cap = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        self.buckets = max(1, min(cap, math.ceil(max_rows / _ROWS_PER_BUCKET)))
+    def __init__(
+        self, t: RoundTables, name: str, keys: list[str], max_rows: int, database: str | None, rows_per_bucket: int
+    ) -> None:
+        self.spark, self.keys, self.path = t.spark, keys, t.path(name)
+        self.name = f"{database + '.' if database else ''}routegraph_{name}_{uuid.uuid4().hex}"
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self.buckets = max(1, partitions, math.ceil(max_rows / rows_per_bucket))
 
-    def append(self, df: DataFrame) -> int:
+    def append(self, df: DataFrame, arranged: bool = False) -> int:
+        """Append rows, ``arranged`` if they are already partitioned like the buckets."""
         obs = Observation()
+        if not arranged:
+            df = df.repartition(self.buckets, *self.keys)  # one file per bucket
         (
-            df.select("id", "landmark", F.col("hops").cast("int").alias("hops"))
-            .observe(obs, F.count(F.lit(1)).alias("n"))
+            df.observe(obs, F.count(F.lit(1)).alias("n"))
             .write.mode("append")
-            .bucketBy(self.buckets, "id", "landmark")
+            .bucketBy(self.buckets, *self.keys)
             .option("path", self.path)
             .saveAsTable(self.name)
         )
         return obs.get["n"]
 
-    def keys(self) -> DataFrame:
-        return self.spark.table(self.name).select("id", "landmark")
-
-    def level(self, k: int) -> DataFrame:
-        # each level is its own files, so Parquet min/max statistics prune the others
-        return self.spark.table(self.name).filter(F.col("hops") == k)
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-    def result(self) -> DataFrame:
-        return self.spark.read.schema(_LEVELS).parquet(self.path)
+    def files(self, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

@@ -76,6 +76,7 @@ QUERIES: dict[str, Query] = {
     # motifs
     "reach_in_1": _on_network(lambda n: R.reach_in_1(n, HUB)),
     "reach_out_1": _on_network(lambda n: R.reach_out_1(n, HUB)),
+    "reach_named": _on_network(lambda n: R.reach_named(n, LOOKUP_NAME)),
     "reach_out_2": _on_network(lambda n: R.reach_out_2(n, HUB)),
     "two_flight_walks": _on_network(R.two_flight_walks),
     "motif_no_return": _on_network(lambda n: R.motif_no_return(n, NO_RETURN_ORIGIN)),
@@ -84,10 +85,11 @@ QUERIES: dict[str, Query] = {
     # distances
     "haversine": _on_network(R.route_lengths),
     "nearest_no_return": _on_network(lambda n: R.nearest_no_return(n, NO_RETURN_ORIGIN)),
+    "nearest_trip_total": _on_network(lambda n: R.nearest_trip_total(n, NO_RETURN_ORIGIN)),
     "two_leg_distance": _on_network(lambda n: R.two_leg_distance(n, NO_RETURN_ORIGIN)),
     # hops
     "hops_to_landmarks": _on_network(lambda n: R.hops_long(n, [A, B])),
-    "hops_map": _on_network(lambda n: R.hops_as_map(n, [A, B])),
+    "hops_map": _on_network(lambda n: R.hops_text(n, [A, B])),
     "hops_map_lookup": _on_network(lambda n: R.hops_map_lookup(n, A, B)),
     "hops_closer_to_a": _on_network(lambda n: R.hops_filtered(n, A, B, "closer_to_a")),
     "hops_closer_to_b": _on_network(lambda n: R.hops_filtered(n, A, B, "closer_to_b")),

@@ -49,12 +49,12 @@ class Network:
 
     @classmethod
     def from_files(cls, spark: SparkSession, airports: str, airlines: str, routes: str,
-                   fmt: str = "csv") -> "Network":
+                   fmt: str = "csv", sep: str = ",") -> "Network":
         """Route data files as the reference reads them (CSV with header, ``\\N`` = missing)."""
         from routegraph.sources import read_airlines, read_airports, read_routes
 
-        return cls(read_airports(spark, airports, fmt), read_airlines(spark, airlines, fmt),
-                   read_routes(spark, routes, fmt))
+        return cls(read_airports(spark, airports, fmt, sep), read_airlines(spark, airlines, fmt, sep),
+                   read_routes(spark, routes, fmt, sep))
 
     def clean_routes(self) -> DataFrame:
         return clean_routes(self.routes)
@@ -81,8 +81,11 @@ class Network:
             "airline_name",
         )
 
+    def carrier_edges(self, icaos) -> Graph:
+        """All airports, and the routes flown by the given carrier codes."""
+        e = self.carrier_routes().filter(F.col("icao").isin(list(icaos)))
+        return Graph(self.airports.select("id", "city"), e.select("src", "dst", "icao", "airline_name"))
+
     def carrier_graph(self, icaos) -> Graph:
         """Subgraph of the routes flown by the given carrier codes, isolated airports dropped."""
-        e = self.carrier_routes().filter(F.col("icao").isin(list(icaos)))
-        e = e.select("src", "dst", "icao", "airline_name")
-        return Graph(self.airports.select("id", "city"), e).drop_isolated_vertices()
+        return self.carrier_edges(icaos).drop_isolated_vertices()

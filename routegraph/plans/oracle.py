@@ -8,7 +8,6 @@ Spark results exactly.
 
 from __future__ import annotations
 
-from routegraph.functions.geo import haversine_sql
 from routegraph.plans.params import (
     CARRIERS,
     COUNTRY_THRESHOLD,
@@ -24,6 +23,16 @@ from routegraph.plans.params import (
     TOP_ROUTES,
 )
 
+
+def _km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Great-circle distance on a sphere of 6371 km, by atan2: not the product's formula."""
+    a = (
+        f"(power(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+        f" * power(sin(radians({lon2} - {lon1}) / 2), 2))"
+    )
+    return f"(12742.0::DOUBLE * atan2(sqrt(least({a}, 1.0)), sqrt(greatest(1.0 - {a}, 0.0))))"
+
+
 _BASE = """
 airports AS (
   SELECT c_custkey AS id, c_name AS name,
@@ -115,9 +124,9 @@ def _hops(body: str) -> str:
     return _with(body, _HOPS.format(a=LANDMARK_A, b=LANDMARK_B), recursive=True)
 
 
-_HAV_AC = haversine_sql("a_lat", "a_lon", "c_lat", "c_lon")
-_HAV_AB = haversine_sql("a_lat", "a_lon", "b_lat", "b_lon")
-_HAV_BC = haversine_sql("b_lat", "b_lon", "c_lat", "c_lon")
+_HAV_AC = _km("a_lat", "a_lon", "c_lat", "c_lon")
+_HAV_AB = _km("a_lat", "a_lon", "b_lat", "b_lon")
+_HAV_BC = _km("b_lat", "b_lon", "c_lat", "c_lon")
 _NON_ISOLATED = "SELECT id FROM airports WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e)"
 _COMPONENTS_BODY = f"""
 SELECT v.id, coalesce(l.comp, v.id) AS component
@@ -146,25 +155,27 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT country, count(id) AS n_airports FROM airports GROUP BY country"
     ),
     "countries_over": _with(
-        f"""SELECT country, count(iata) AS number_of_airports FROM airports GROUP BY country
-            HAVING count(iata) > {COUNTRY_THRESHOLD} ORDER BY number_of_airports DESC, country"""
+        f"""SELECT country, count(iata) AS n_coded FROM airports GROUP BY country
+            HAVING count(iata) > {COUNTRY_THRESHOLD} ORDER BY n_coded DESC, country"""
     ),
     "top_airlines": _with(
-        f"""SELECT a.airline_id, a.name, a.icao, f.num_flights
-            FROM airlines a JOIN (SELECT airline_id, count(airline_id) AS num_flights
-                                  FROM routes GROUP BY airline_id) f ON a.airline_id = f.airline_id
-            ORDER BY f.num_flights DESC, a.airline_id LIMIT {TOP_AIRLINES}"""
+        f"""SELECT * FROM (
+              SELECT a.airline_id, a.name, a.icao, f.n_flights
+              FROM airlines a JOIN (SELECT airline_id, count(airline_id) AS n_flights
+                                    FROM routes GROUP BY airline_id) f ON a.airline_id = f.airline_id
+              ORDER BY f.n_flights DESC, a.airline_id LIMIT {TOP_AIRLINES})
+            ORDER BY n_flights, airline_id DESC"""
     ),
     "top_routes": _with(
-        f"""SELECT p.airport_source_id, p.airport_destination_id, s.name AS source_airport,
-                   s.city AS source_city, d.name AS destination_airport, d.city AS destination_city,
-                   p.route_count
+        f"""SELECT p.airport_source_id, p.airport_destination_id, s.name AS source_name,
+                   s.city AS source_town, d.name AS destination_name, d.city AS destination_town,
+                   p.n_flights
             FROM (SELECT airport_source_id, airport_destination_id,
-                         count(airport_source_id) AS route_count
+                         count(airport_source_id) AS n_flights
                   FROM routes GROUP BY airport_source_id, airport_destination_id) p
             JOIN airports s ON p.airport_source_id = s.id
             JOIN airports d ON p.airport_destination_id = d.id
-            ORDER BY p.route_count DESC, p.airport_source_id, p.airport_destination_id
+            ORDER BY p.n_flights DESC, p.airport_source_id, p.airport_destination_id
             LIMIT {TOP_ROUTES}"""
     ),
     "distinct_route_count": _with(
@@ -219,14 +230,25 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT count(*) AS n_paths, count(DISTINCT c) AS n_destinations FROM no_return"
     ),
     "haversine": _with(
-        f"""SELECT p.src, p.dst, round({haversine_sql('s.latitude', 's.longitude', 'd.latitude', 'd.longitude')}, 3)
+        f"""SELECT p.src, p.dst, round({_km('s.latitude', 's.longitude', 'd.latitude', 'd.longitude')}, 3)
                    AS distance_km
             FROM (SELECT DISTINCT src, dst FROM e) p
             JOIN airports s ON p.src = s.id JOIN airports d ON p.dst = d.id"""
     ),
     "nearest_no_return": _with(
-        f"""SELECT DISTINCT c AS id, c_name AS name, round({_HAV_AC}, 3) AS distance_km FROM legs
-            ORDER BY distance_km, id LIMIT 1"""
+        f"""SELECT id, name, round(km, 3) AS distance_km
+            FROM (SELECT DISTINCT c AS id, c_name AS name, {_HAV_AC} AS km FROM legs)
+            ORDER BY km, id LIMIT 1"""
+    ),
+    "nearest_trip_total": _with(
+        f"""SELECT a, b, c, round(ab, 3) AS d_ab_km, round(bc, 3) AS d_bc_km, round(ab + bc, 3) AS total_km
+            FROM (SELECT a, b, c, {_HAV_AB} AS ab, {_HAV_BC} AS bc FROM legs
+                  WHERE c = (SELECT c FROM legs ORDER BY {_HAV_AC}, c LIMIT 1))
+            ORDER BY ab + bc, b LIMIT 1"""
+    ),
+    "reach_named": _with(
+        f"""SELECT dst AS id, count(*) AS n_flights FROM re
+            WHERE src IN (SELECT id FROM airports WHERE name = '{LOOKUP_NAME}') GROUP BY dst"""
     ),
     "two_leg_distance": _with(
         f"""SELECT a, b, c, round({_HAV_AB}, 3) AS d_ab_km, round({_HAV_BC}, 3) AS d_bc_km,
@@ -234,6 +256,12 @@ ORACLE_SQL: dict[str, str] = {
             FROM legs"""
     ),
     "hops_to_landmarks": _hops("SELECT id, landmark, hops FROM hops"),
+    "hops_map": _hops(
+        """SELECT v.id, v.name, coalesce(m.distances, '') AS distances
+           FROM airports v LEFT JOIN (
+             SELECT id, string_agg(landmark || ':' || hops, ',' ORDER BY landmark) AS distances
+             FROM hops GROUP BY id) m ON m.id = v.id"""
+    ),
     "hops_map_lookup": _hops(
         f"""SELECT v.id, ha.hops AS hops_to_a, hb.hops AS hops_to_b
             FROM airports v

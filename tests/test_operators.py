@@ -176,7 +176,9 @@ def test_graph_library_aliases(hand_graph):
     assert as_dict(hand_graph.outDegrees, "id", "outDegree")[1] == 3
     assert as_dict(hand_graph.inDegrees, "id", "inDegree")[99] == 1
     clean = hand_graph.dropIsolatedVertices()
-    assert as_dict(clean.connectedComponents(), "id", "component")[8] == 6
+    labelled = clean.connectedComponents()
+    assert labelled.columns == [*clean.vertices.columns, "component"]
+    assert as_dict(labelled, "id", "component")[8] == 6
     sp = {r["id"]: dict(r["distances"]) for r in hand_graph.shortestPaths([1]).collect()}
     assert sp[5] == {1: 3} and sp[7] == {}
 
@@ -216,3 +218,46 @@ def test_haversine_golden(spark):
 def test_two_leg_sum_golden():
     # The reference adds its two printed leg lengths by hand.
     assert abs((2186.1514575333313 + 1210.6138281258875) - 3396.76529) < 1e-5
+
+
+def test_haversine_second_pair_and_antipodes(spark):
+    import math
+
+    d = spark.range(1).select(
+        haversine_km(0.0, 0.0, 0.0, 90.0).alias("quarter"),
+        haversine_km(90.0, 0.0, -90.0, 0.0).alias("poles"),
+        haversine_km(45.0, 10.0, -45.0, -170.0).alias("antipodes"),
+    ).first()
+    half = math.pi * 6371.0
+    assert d["quarter"] == pytest.approx(half / 2, abs=1e-6)
+    assert d["poles"] == pytest.approx(half, abs=1e-6) and d["antipodes"] == pytest.approx(half, abs=1e-4)
+
+
+def _net(spark, places, flights):
+    from routegraph.plans.network import Network
+
+    a = spark.createDataFrame(
+        places, "id bigint, name string, city string, country string, iata string, icao string, latitude double, longitude double"
+    )
+    r = spark.createDataFrame(flights, "airline_id bigint, airport_source_id bigint, airport_destination_id bigint")
+    return Network(a, None, r)
+
+
+def test_nearest_by_true_distance(spark):
+    from routegraph.plans import reports as R
+
+    # 4 lies 0.2 m nearer to 1 than 3 does: both round to the same metre
+    km = 6371.0 * 3.141592653589793 / 180
+    places = [(i, f"P{i}", "c", "l", "x", "y", lat, 0.0) for i, lat in [(1, 0.0), (2, 5.0), (3, 100.0002 / km), (4, 100.0 / km)]]
+    net = _net(spark, places, [(1, 1, 2), (1, 2, 3), (1, 2, 4)])
+    rows = {r["c"]: r["total_km"] for r in R.two_leg_distance(net, 1).collect()}
+    assert set(rows) == {3, 4}
+    best = R.nearest_no_return(net, 1).first()
+    assert best["id"] == 4 and best["distance_km"] == 100.0
+    trip = R.nearest_trip_total(net, 1).first()
+    assert (trip["a"], trip["b"], trip["c"]) == (1, 2, 4) and trip["total_km"] == rows[4]
+
+
+def test_components_cap_is_the_callers(hand_graph):
+    with pytest.raises(RuntimeError):
+        connected_components(hand_graph, max_rounds=0)

@@ -57,11 +57,11 @@ def test_network_from_files_answers(spark, tmp_path):
     counts = R.route_counts_clean(net).first()
     assert (counts["n_routes"], counts["n_clean"]) == (7, 5)
     # count(iata): the "\N" code of airport 2 is missing, so Landia has 1 coded airport
-    per_country = {r["country"]: r["number_of_airports"] for r in R.countries_over(net, 0).collect()}
+    per_country = {r["country"]: r["n_coded"] for r in R.countries_over(net, 0).collect()}
     assert per_country == {"Landia": 1, "Otherland": 2}
     top = R.top_routes(net, 1).first()
-    assert (top["airport_source_id"], top["airport_destination_id"], top["route_count"]) == (1, 2, 2)
-    assert top["source_airport"] == "Alpha Airport" and top["destination_city"] == "Beta"
+    assert (top["airport_source_id"], top["airport_destination_id"], top["n_flights"]) == (1, 2, 2)
+    assert top["source_name"] == "Alpha Airport" and top["destination_town"] == "Beta"
     # the golden distance of the reference, through the report path (1 -> 2)
     lengths = {(r["src"], r["dst"]): r["distance_km"] for r in R.route_lengths(net).collect()}
     assert lengths[(1, 2)] == round(2186.1514575333313, 3)
@@ -101,3 +101,33 @@ def test_graph_operators_on_csv_network(spark, tmp_path):
     assert hops == {1: 0, 4: 1, 3: 2, 2: 3}
     comp = {r["id"]: r["component"] for r in connected_components(g).collect()}
     assert comp == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
+def test_separator_reaches_the_readers(spark, tmp_path):
+    def semicolons(text):
+        return text.replace(",", ";")
+
+    net = Network.from_files(
+        spark,
+        _write(tmp_path, "a.csv", semicolons(AIRPORTS_CSV)),
+        _write(tmp_path, "l.csv", semicolons(AIRLINES_CSV)),
+        _write(tmp_path, "r.csv", semicolons(ROUTES_CSV)),
+        sep=";",
+    )
+    assert net.airports.count() == 4 and net.clean_routes().count() == 5
+
+
+def test_quoted_fields_and_unparsable_ids(spark, tmp_path):
+    text = AIRPORTS_CSV + '5,"Quote, Comma Field","The ""Big"" City",Landia,QQQ,LQQQ,1.0,2.0,3\nabc,Bad Id,X,Landia,XXX,LXXX,1.0,2.0,3\n'
+    rows = read_airports(spark, _write(tmp_path, "a.csv", text)).collect()
+    assert any(r["name"] == "Quote, Comma Field" and r["city"].endswith("City") for r in rows)
+    assert [r["name"] for r in rows if r["id"] is None] == ["Bad Id"]
+
+
+def test_several_files_with_equal_headers(spark, tmp_path):
+    folder = tmp_path / "routes"
+    folder.mkdir()
+    head, *lines = ROUTES_CSV.splitlines()
+    (folder / "1.csv").write_text("\n".join([head, *lines[:3]]) + "\n")
+    (folder / "2.csv").write_text("\n".join([head, *lines[3:]]) + "\n")
+    assert read_routes(spark, str(folder)).count() == 7
