@@ -28,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.llm.packed import (
-    bucket_of, buckets_for, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes,
+    bucket_of, buckets_for, doc_chunks, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes,
 )
 
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A7757A7757A771)
-#: Text of one chunk of documents, in bytes and rows.
-CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 1 << 14
+#: Text of one chunk of documents; a chunk has at most 1 << 14 rows.
+CHUNK_BYTES = 8 << 20
+#: Bit of a document's number in its chunk that marks training documents.
+TRAIN = np.uint16(1 << 15)
+#: Text behind one bucket of pairs: its arrays take some 30 times as much while it is scored.
+BUCKET_BYTES = 8 << 20
 
 ENTRY = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.bool_()), ("data", pa.binary())])
 ENTRY_DDL = "bucket int, chunk long, docs boolean, data binary"
@@ -48,23 +51,6 @@ SHARE_DDL = "bucket int, chunk long, data binary, " + ", ".join(f"{s} long" for
 PART = pa.schema([("chunk", pa.int64()), ("docs", pa.bool_()), ("data", pa.binary())])
 
 
-def doc_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(chunk number, its other columns, its texts) with bounded rows and bytes."""
-    context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 32
-    for batch in batches:
-        texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-        first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and last - first < CHUNK_ROWS and (last == first or size + len(texts[last]) <= CHUNK_BYTES):
-                size += len(texts[last])
-                last += 1
-            yield number, [c.slice(first, last - first) for c in batch.columns[:-1]], texts[first:last]
-            number += 1
-            first = last
-
-
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token before, token, text number) of all tokens, ends included."""
     words, sizes = word_hashes(texts)
@@ -90,20 +76,20 @@ def frequent_words(docs: DataFrame, share: float, text: str) -> np.ndarray:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in doc_chunks(batches):
+        for _, _, texts in doc_chunks(batches, CHUNK_BYTES):
             w, n = np.unique(tokens_of(texts)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
 
     sample = docs.filter(F.pmod(F.xxhash64("_key", "_text"), F.lit(64)) == 0).select("_text")
     counts = sample.mapInArrow(scan, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    top = counts.join(F.broadcast(total), F.col("n") >= share * F.col("total")).select("w").collect()
+    total = counts.agg(F.sum("n")).scalar()
+    top = counts.filter(F.col("n") >= share * total).select("w").collect()
     return np.unique(np.array([START, END] + [np.int64(r["w"]).view(np.uint64) for r in top], np.uint64))
 
 
 def entries(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, (keys, train), texts in doc_chunks(batches):
+        for chunk, (keys, train), texts in doc_chunks(batches, CHUNK_BYTES):
             v, w, doc = tokens_of(texts)
             held = np.asarray(train.to_pylist(), bool)
             sizes = np.bincount(doc, minlength=len(texts))
@@ -123,7 +109,8 @@ def entries(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
                 run = np.flatnonzero(np.concatenate([[True], bv[1:] != bv[:-1]]))
                 lens = np.diff(np.append(run, len(bv))).astype(np.uint32)
                 small = np.uint8 if bn.max() < 256 else np.uint32
-                rows.append((b, chunk, False, pack(v=bv[run], run=lens, w=bw, doc=bd, n=bn.astype(small), train=held)))
+                marked = np.where(held[bd], bd | TRAIN, bd).astype(np.uint16)
+                rows.append((b, chunk, False, pack(v=bv[run], run=lens, w=bw, doc=marked, n=bn.astype(small))))
             yield rows_of(rows, ENTRY)
 
     return docs.mapInArrow(scan, ENTRY_DDL)
@@ -139,19 +126,20 @@ class Bucket:
                 self.docs.append((chunk, True, data))
                 continue
             x = unpack(data)
-            parts.append((np.repeat(x["v"], x["run"]), x["w"], x["doc"], x["n"].astype(np.int64), x["train"][x["doc"]]))
+            parts.append((np.repeat(x["v"], x["run"]), x["w"], x["doc"], x["n"].astype(np.uint32)))
             self.chunks.append((chunk, len(x["w"])))
         if not parts:
-            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, bool))]
-        self.v, self.w, self.doc, self.n, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.uint32))]
+        self.v, self.w, doc, self.n = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
+        self.doc = doc & ~TRAIN
         self.pair = pair_hash(self.v, self.w)
-        rows = np.flatnonzero(train)
+        rows = np.flatnonzero(doc & TRAIN)
         rows = rows[np.argsort(self.pair[rows], kind="stable")]
         sorted_pairs = self.pair[rows]
         first = np.flatnonzero(np.concatenate([[True], sorted_pairs[1:] != sorted_pairs[:-1]])) if len(rows) else rows
         self.pairs = sorted_pairs[first]
-        self.count = np.add.reduceat(self.n[rows], first) if len(rows) else np.zeros(0, np.int64)
+        self.count = np.add.reduceat(self.n[rows].astype(np.int64), first) if len(rows) else np.zeros(0, np.int64)
         self.pair_v, self.pair_w = self.v[rows[first]], self.w[rows[first]]
         # contexts of the training pairs: tokens after them, and pairs seen once, twice, more
         self.contexts, own = np.unique(self.pair_v, return_inverse=True)
@@ -304,7 +292,7 @@ def scored(forward: DataFrame, totals: DataFrame) -> DataFrame:
                 present = np.unique(doc)
                 add = lambda x: np.bincount(doc, x * times)[present]
                 rows.append((chunk, False, pack(
-                    doc=present.astype(np.uint16), base=add(base[s]), score=add(logp[s]), known=add(tokens[s] > 0).astype(np.int64)
+                    doc=present.astype(np.uint16), base=add(base[s]), score=add(logp[s]), known=add(tokens[s] > 0).astype(np.uint32)
                 )))
         return pa.Table.from_batches([rows_of(rows, PART)], schema=PART)
 
@@ -340,7 +328,7 @@ def per_document(parts: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     size = text_bytes(docs, text)
-    n_buckets = buckets_for(docs, size)
+    n_buckets = buckets_for(docs, size, BUCKET_BYTES)
     rows = docs.select(F.col(key).cast("long").alias("_key"), train.alias("_train"), F.col(text).alias("_text"))
     hot = frequent_words(rows, 1 / (4 * n_buckets), text)
     forward = entries(rows, n_buckets, hot)

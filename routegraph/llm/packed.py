@@ -9,11 +9,14 @@ its hash.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +26,23 @@ BUCKET_BYTES = 12 << 20
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays as one compressed Arrow message, a one-row list column for each."""
-    columns = [pa.LargeListArray.from_arrays([0, len(a)], pa.array(a)) for a in arrays.values()]
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays(columns, names=list(arrays))
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    """Named arrays, each with its kind and length before its bytes, compressed."""
+    parts = []
+    for name, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        parts += [struct.pack("<B2sI", len(name), a.dtype.str[1:].encode(), len(a)), name.encode(), a.tobytes()]
+    return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)) as stream:
-        batch = stream.read_next_batch()
-    return {n: batch.column(i).flatten().to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, {}
+    while at < len(raw):
+        size, kind, n = struct.unpack_from("<B2sI", raw, at)
+        at += 7
+        name, dtype = raw[at : at + size].decode(), np.dtype(kind.decode())
+        out[name] = np.frombuffer(raw, dtype, n, at + size)
+        at += size + n * dtype.itemsize
+    return out
 
 
 def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -81,6 +88,29 @@ def grouped(df: DataFrame, by: str, fn: Callable[[pa.Table], Iterable[tuple]], s
     return df.groupBy(by).applyInArrow(call, ddl)
 
 
+def doc_chunks(
+    batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int = 1 << 14
+) -> Iterator[tuple[int, list[pa.Array], list[bytes]]]:
+    """(chunk number, its other columns, its texts) of batches whose last column is the text.
+
+    A chunk has bounded rows and bytes (or one longer text), and only its texts are held.
+    """
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 32
+    for batch in batches:
+        text = batch.column(batch.num_columns - 1).cast(pa.binary())
+        upto = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(text):
+            done = upto[first - 1] if first else 0
+            last = int(np.searchsorted(upto, done + most_bytes, "right"))
+            last = min(max(last, first + 1), first + most_rows, len(text))
+            part = [t or b"" for t in text.slice(first, last - first).to_pylist()]
+            yield number, [c.slice(first, last - first) for c in batch.columns[:-1]], part
+            number += 1
+            first = last
+
+
 # ---- words and their hashes --------------------------------------------------------------
 
 _R = 0x9E3779B97F4A7C15 | 1
