@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.llm.common import text_or_empty, written
-from routegraph.llm.kn_scoring import doc_chunks
 from routegraph.llm.links import roots, stars
-from routegraph.llm.packed import bucket_of, buckets_for, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes
+from routegraph.llm.packed import (
+    bucket_of, buckets_for, doc_chunks, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes,
+)
 
 SHINGLE = 5
 #: Similarity of 3/4: 7 * overlap >= 3 * (size + size).
@@ -45,6 +46,8 @@ TILE = 256
 #: Share of the grams that the first round of filtering looks at.
 SAMPLE = 0.4
 SIGNATURE_WORDS = 8
+#: Text that a task handles at once, and text behind one bucket of grams.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 ROWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 BLOB = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("about", pa.bool_()), ("data", pa.binary())])
@@ -89,7 +92,7 @@ def class_rows(docs: DataFrame) -> DataFrame:
     """(key, hash, n, cls) of rows (_key, _hash, _text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (keys, hashes), texts in doc_chunks(batches):
+        for _, (keys, hashes), texts in doc_chunks(batches, CHUNK_BYTES):
             _, n, cls = gram_sets(texts)
             yield pa.RecordBatch.from_arrays([keys, hashes, pa.array(n), pa.array(cls.view(np.int64))], schema=ROWS)
 
@@ -101,7 +104,7 @@ def gram_blobs(docs: DataFrame, n_buckets: int, share: float) -> DataFrame:
     limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, texts in doc_chunks(batches):
+        for chunk, _, texts in doc_chunks(batches, CHUNK_BYTES):
             flat, n, cls = gram_sets(texts)
             once = np.zeros(len(cls), bool)
             once[np.unique(cls, return_index=True)[1]] = True
@@ -344,7 +347,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tile
     ``text_hash`` is xxhash64 of the text; ``stays`` marks the row of the smallest key (and
     text hash) of every component, and all rows without grams.
     """
-    n_buckets = buckets_for(docs, text_bytes(docs, text))
+    n_buckets = buckets_for(docs, text_bytes(docs, text), BUCKET_BYTES)
     body = docs.select(
         F.col(key).cast("long").alias("_key"), F.xxhash64(text_or_empty(text)).alias("_hash"), F.col(text).alias("_text")
     )
