@@ -48,6 +48,8 @@ SAMPLE = 0.4
 SIGNATURE_WORDS = 8
 #: Text that a task handles at once, and text behind one bucket of grams.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Groups of more than a tile, a few hundred bytes each, that a broadcast may hold.
+BROADCAST_ROWS = 100_000
 
 ROWS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
 BLOB = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("about", pa.bool_()), ("data", pa.binary())])
@@ -257,15 +259,18 @@ def tile_pairs(members: DataFrame, tile: int) -> DataFrame:
     side 2 is a tile that meets itself."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     sizes = members.withColumn("band", band).groupBy("grp", "band").agg(F.count(F.lit(1)).alias("c"))
-    groups = written(
-        sizes.groupBy("grp").agg(
-            F.sum("c").alias("total"),
-            F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / tile).cast("int").alias("tiles")))).alias("bands"),
-        ),
+    tiles = F.struct("band", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
+    large = written(
+        sizes.groupBy("grp")
+        .agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(tiles)).alias("bands"))
+        .filter(F.col("total") > tile),
         "join-groups",
     )
-    m = members.withColumn("band", band).join(groups, "grp")
-    whole = F.col("total") <= tile
+    # members of one group do not have to meet for this: only groups of more than a tile
+    # are listed, and their list is broadcast when its counted rows allow it
+    listed = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    m = members.withColumn("band", band).join(listed, "grp", "left")
+    whole = F.col("total").isNull()
     own = F.pmod(F.xxhash64("cls"), F.element_at("bands", F.col("band"))).cast("int")
 
     def met(step: int):
