@@ -121,7 +121,7 @@ for _c in range(65, 91):
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes hashed in one pass.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
 _POWERS: dict[str, np.ndarray] = {}
 
 

@@ -41,7 +41,7 @@ GRAM = 24
 #: Chunks of text that hold an anchor for it to count as frequent: decides its route only.
 FREQUENT = 64
 CHUNK_BYTES = 8 << 20
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 NO_KEY = np.iinfo(np.int64).max
 _RAW_MIX = _MIX.copy()
 _RAW_MIX[65:91] = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 26, dtype=np.uint64)
