@@ -5,8 +5,15 @@ before it, interpolated down to a uniform distribution (Kneser-Ney: the lower or
 distinct left neighbours). Spark counts the character n-grams of the training rows; the
 models are sorted arrays of n-gram hashes with one column of log-probabilities per
 language, broadcast to the workers. A text gets the language with the lowest cross-entropy
-per character; where even the lowest lies above what the training rows of that language
-reach (their ``REJECT`` quantile plus a margin), the prediction is flagged as rejected.
+per character; where even the lowest lies above what labelled rows of that language and
+about that length reach, the prediction is flagged as rejected.
+
+The limits come from labelled rows that the models were not fitted on, by language and
+length (short texts spread widest): their ``REJECT`` quantile plus ``MARGIN`` of its
+distance from the language's median. A language with few such rows of a length takes the
+distances of all languages, and of the next lengths while those are few too; one without
+any takes the middle of the other medians. Without any such row at all, the limit is what
+a uniform distribution over the characters reaches.
 
 The models are fitted on at most ``SAMPLE`` rows per language, taken by the smallest
 hashes of their keys; their whole texts count. That bounds the models, which are broadcast.
@@ -28,7 +35,13 @@ from pyspark.sql import functions as F
 ORDER = 4
 SAMPLE = 1000
 DISCOUNT = 0.75
-REJECT, MARGIN = 0.999, 1.0
+#: Quantile of the distances from the median, and the share of it added as a margin.
+REJECT, MARGIN = 0.999, 0.5
+#: Rows behind a limit. With fewer in all languages and lengths together, which say little
+#: about a quantile so far out, the margin widens with the square of what is missing.
+LEAST = 100
+#: Lengths are told apart by powers of four characters, entropies by steps of 1 / STEPS nat.
+LENGTHS, STEPS = 12, 200
 #: Texts joined for one pass of array operations, in characters.
 BATCH_CHARS = 1 << 19
 SPACE, START = 32, 0
@@ -87,11 +100,11 @@ class KneserNey:
 
     def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.languages = languages
-        self.limits = np.full(len(languages), np.inf)
         grams = [c[0] for c in counts]
         every = {n: np.unique(np.concatenate([_suffix(g, n) for g in grams])) for n in range(1, ORDER + 1)}
         alphabet = len(every[1]) + 1
         self.floor = -np.log(alphabet)
+        self.limits = np.full((len(languages), LENGTHS), -self.floor)
         self.keys, self.logp, self.contexts, self.loggamma = every, {}, {}, {}
         tables = [self._counts(k, c) for k, c in counts]
         for n in range(1, ORDER + 1):
@@ -159,6 +172,41 @@ class KneserNey:
         return out, sizes
 
 
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum((np.log2(np.maximum(sizes, 1)) / 2).astype(np.int64), LENGTHS - 1)
+
+
+def _quantile(values: np.ndarray, n: np.ndarray, q: float) -> float:
+    """The least of ``values``, each held by ``n`` rows, that a share ``q`` of the rows does not exceed."""
+    order = np.argsort(values)
+    upto = np.cumsum(n[order])
+    return float(values[order][np.searchsorted(upto, q * upto[-1])])
+
+
+def limits_of(
+    languages: int, lang: np.ndarray, length: np.ndarray, entropy: np.ndarray, n: np.ndarray, uniform: float
+) -> np.ndarray:
+    """Highest accepted entropy by language and length class, from counted calibration rows."""
+    out = np.full((languages, LENGTHS), uniform)
+    if not len(n):
+        return out
+    medians = np.full(languages, np.nan)
+    for i in np.unique(lang):
+        medians[i] = _quantile(entropy[lang == i], n[lang == i], 0.5)
+    medians = np.where(np.isnan(medians), np.nanmedian(medians), medians)
+    away = entropy - medians[lang]
+    for i in range(languages):
+        for b in reversed(range(LENGTHS)):
+            rows, reach = (lang == i) & (length == b), 0
+            while n[rows].sum() < LEAST and reach < LENGTHS:
+                rows, reach = np.abs(length - b) <= reach, reach + 1
+            spread = max(_quantile(away[rows], n[rows], REJECT), 1 / STEPS)
+            out[i, b] = medians[i] + spread * (1 + MARGIN * max(1.0, LEAST / n[rows].sum()) ** 2)
+        # a shorter text may lie as far off as a longer one
+        out[i] = np.maximum.accumulate(out[i][::-1])[::-1]
+    return out
+
+
 def crc_of(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
 
@@ -218,18 +266,37 @@ def fit_models(train: DataFrame, key: str, text: str, lang: str, sample: int = S
     if not fitted:
         return None
     model = KneserNey(fitted, per_language)
-    scored = predict(rows.filter("check").select("lang", "text"), model, "text", ["lang"])
-    limits = (
-        scored.filter(F.col("lang") == F.col("lang_pred"))
-        .groupBy("lang")
-        .agg(F.percentile("cross_entropy", F.lit(REJECT)).alias("limit"))
-        .collect()
-    )
-    for r in limits:
-        model.limits[fitted.index(r["lang"])] = r["limit"] + MARGIN
+    model.limits = calibrated(rows.filter("check").select("lang", "text"), model)
     return model
 
 
+def calibrated(rows: DataFrame, model: KneserNey) -> np.ndarray:
+    """Rejection limits from rows (lang, text) outside the fitted ones.
+
+    Rows whose language is predicted right count. One row per language, length class and step
+    of the entropy reaches the driver, whose number the input does not change.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            entropy, sizes = m.cross_entropies(texts)
+            best = entropy.argmin(1)
+            right = np.array([m.languages[b] == name for b, name in zip(best, batch.column(0).to_pylist(), strict=True)], bool)
+            right &= np.array([any(map(str.isalpha, t)) for t in texts], bool)
+            step = np.ceil(entropy[np.arange(len(best)), best] * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[right]) for x in (best, length_class(sizes), step)], names=["lang", "length", "step"]
+            )
+
+    told = rows.mapInArrow(scan, "lang long, length long, step long").groupBy("lang", "length", "step")
+    counts = told.agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lang, length, step, n = (counts.column(c).to_numpy() for c in ("lang", "length", "step", "n"))
+    return limits_of(len(model.languages), lang, length, step / STEPS, n, -model.floor)
+
+
 PREDICTED = ("lang_pred", "score", "cross_entropy", "rejected")
 
 
@@ -254,7 +321,7 @@ def predict(
             least = entropy[np.arange(len(best)), best]
             share = 1 / np.exp(np.maximum((least[:, None] - entropy) * sizes[:, None], -700)).sum(1)
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            over = ~lettered | (least > m.limits[best])
+            over = ~lettered | (least > m.limits[best, length_class(sizes)])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(keep)],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 import zlib
 from collections import Counter
@@ -216,6 +217,35 @@ def test_language_id(spark, corpus):
     assert not any(r["rejected"] for r in got if r["doc_id"] in truth)
 
 
+def test_left_out_language_is_rejected(spark):
+    rng = random.Random(3)
+    parts = {"en": "the ing and tion er with of th", "de": "der ung keit schl eine ich ü zw", "fr": "eau é oir que les ment ç ou"}
+
+    def prose(lang):
+        return " ".join("".join(rng.choices(parts[lang].split(), k=rng.choice((1, 2, 3)))) for _ in range(rng.choice((6, 20, 60, 200))))
+
+    told = [(i, prose(lang), lang) for i in range(700) for lang in sorted(parts)]
+    docs = spark.createDataFrame(told, "doc_id long, text string, lang string")
+    for out in sorted(parts):
+        model = langid.fit_models(docs.filter(F.col("lang") != out), "doc_id", "text", "lang", sample=250)
+        got = langid.predict(docs, model, "text", ["lang"]).groupBy(F.col("lang") == out).agg(
+            F.avg(F.col("rejected").cast("double"))
+        )
+        rejected = {r[0]: r[1] for r in got.collect()}
+        assert rejected[True] > 0.95 and rejected[False] < 0.01
+
+
+def test_limits_without_calibration_rows():
+    import numpy as np
+
+    lang, length, n = np.array([0, 0, 0, 1]), np.array([4, 4, 5, 4]), np.array([500, 1, 300, 500])
+    got = langid.limits_of(3, lang, length, np.array([1.4, 1.6, 1.4, 1.5]), n, 3.0)
+    assert np.isfinite(got).all() and got.max() < 2 and (np.diff(got, axis=1) <= 0).all()
+    assert (got[2] > 1.4).all()  # the third language has no row: the pooled limit
+    none = np.zeros(0, np.int64)
+    assert (langid.limits_of(2, none, none, none / 1.0, none, 3.0) == 3.0).all()
+
+
 def test_language_model_sums_to_one():
     model = langid.KneserNey(
         ["a"], [tuple(x for x in __import__("numpy").unique(langid.gram_keys(["banana bandana", "nab an"])[0], return_counts=True))]
