@@ -1,11 +1,12 @@
 """Secret scans that weigh candidates by how widely the corpus shares them.
 
 Candidates are credential-like strings with their places. For the whole corpus, the
-distinct repositories and owners of every candidate's hash are counted: a string that many
-owners hold is an example that got copied; one that a single owner holds, and looks
-generated, is likely live. Beyond the three base kinds the scan finds unlabelled keys
-(long runs mixing letters and digits outside the base spans) and reports those that no
-more than ``live_owners`` owners hold.
+distinct owners of every candidate's hash and its distinct repositories at each owner are
+counted: a string that many owners hold, or one owner in many repositories, is an example
+that got copied; one with no more than ``live_owners`` owners and ``live_repos``
+repositories at any of them is likely live. Beyond the three base kinds the scan finds
+unlabelled keys that look generated (long runs mixing letters and digits outside the base
+spans) and reports the live ones. Both counts are returned for every candidate.
 
 A row's candidates stay in arrays of the written scan table, so the text is read once and
 never shuffled. Counting goes hash, owner, repository, each a grouped count with partial
@@ -72,18 +73,21 @@ def matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Co
     return F.when(F.regexp_like(text, p), found).otherwise(none)
 
 
-def joined(spans: Column) -> Column:
-    """kind:start:end of sorted spans, comma-joined."""
+def joined(spans: Column, *more: str) -> Column:
+    """kind:start:end of sorted spans, and more of their fields, comma-joined."""
     kinds = F.lit(KINDS)
+    fields = ("start", "end", *more)
     return F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ","
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), *[s[f] for f in fields])), ","
     )
 
 
 def scan_secrets(
-    docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text", live_owners: int = 2
+    docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text",
+    live_owners: int = 2, live_repos: int = 4,
 ) -> DataFrame:
-    """(repo, base, spans, n_live, n_example) for every row: base spans, all spans, verdicts."""
+    """(repo, base, spans, n_live, n_example, holders) for every row: base spans, all spans,
+    verdicts, and (start, kind, end, owners, most repositories at one owner) of all candidates."""
     found = written(
         docs.select(F.col(repo).alias("_repo"), F.col(owner).alias("_owner"), text_or_empty(text).alias("_text"))
         .select(
@@ -104,24 +108,27 @@ def scan_secrets(
     spread = written(
         candidates.groupBy("hash", "_owner", "_repo").agg(F.count(F.lit(1)).alias("_copies"))
         .groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("_repos"))
-        .groupBy("hash").agg(F.count(F.lit(1)).alias("_owners"), F.sum("_repos").alias("_repos")),
+        .groupBy("hash").agg(F.count(F.lit(1)).alias("_owners"), F.max("_repos").alias("_repos")),
         "secret-spread",
     )
-    live = F.col("_owners") <= live_owners
+    live = (F.col("_owners") <= live_owners) & (F.col("_repos") <= live_repos)
     verdicts = candidates.join(spread, "hash").groupBy("_row").agg(
         F.count_if(live).alias("n_live"),
         F.count_if(~live).alias("n_example"),
         F.collect_list(
             F.when(live & (F.col("kind") == len(BASE)), F.struct("start", "kind", "end", "hash"))
         ).alias("_owned"),
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "_owners", "_repos"))).alias("_holders"),
     )
     none = F.filter("_keys", lambda s: F.lit(False))
+    nobody = F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,_owners:bigint,_repos:bigint>>")
     return found.join(verdicts, "_row", "left").select(
         F.col("_repo").alias(repo),
         F.col("_base").alias("base"),
         F.sort_array(F.concat("_base", F.coalesce("_owned", none))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        F.coalesce("_holders", nobody).alias("holders"),
     )
 
 
@@ -136,4 +143,5 @@ def op10_secret_scan(docs: DataFrame) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         "n_live",
         "n_example",
+        joined(F.col("holders"), "_owners", "_repos").alias("holders"),
     )

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from routegraph.llm import exact_dedup, kn_scoring, langid, packed, sharding, suffix_dedup
+from routegraph.llm import exact_dedup, kn_scoring, langid, packed, secret_scan, sharding, suffix_dedup
 from routegraph.llm.ngram_join import similar_texts
 from routegraph.llm.queries import ORACLE_SQL, QUERIES
 
@@ -185,6 +185,21 @@ def test_secrets(spark, corpus):
     assert by_id[0][7] > 0 and by_id[112][6] > 0  # the copied token is an example, the lone one live
 
 
+def test_copies_inside_one_owner_are_examples(spark):
+    def lone(i):
+        return f"Ab{i:04d}cdEFghIJklMNopQRstUV"
+
+    placeholder, twice = "sk_demo_0123456789abcdefghij", "Zz99yy88xx77ww66vv55uu44tt33"
+    docs = [(i, f"set {placeholder} or {lone(i)}", None if i % 2 else "hot") for i in range(40)]
+    docs += [(i, f"use {twice}", "hot") for i in (50, 50, 51)] + [(60, "token = 'secret99'", None)]
+    got = {r["doc_id"]: r for r in secret_scan.op10_secret_scan(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    for i in range(40):
+        assert (got[i]["n_live"], got[i]["n_example"], got[i]["spans"]) == (1, 1, "key:36:62")
+        assert got[i]["holders"] == "key:4:32:2:20,key:36:62:1:1"
+    assert [(got[i]["n_live"], got[i]["holders"]) for i in (50, 51)] == [(1, "key:4:32:1:2")] * 2
+    assert (got[60]["n_live"], got[60]["holders"]) == (1, "assign:0:17:1:1")
+
+
 def test_contamination(spark, corpus):
     want = brute.contamination(corpus[1], corpus[2])
     same(rows_of(spark, "op6_decontaminate", corpus), [(d["doc_id"], *r) for d, r in zip(corpus[1], want, strict=True)])
