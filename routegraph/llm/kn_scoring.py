@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routegraph.llm.packed import (
-    bucket_of, buckets_for, doc_chunks, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes,
+    bucket_of, buckets_for, doc_chunks, grouped, mix, narrow, pack, rows_of, split, text_bytes, unpack, word_hashes,
 )
 
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A7757A7757A771)
@@ -158,12 +158,12 @@ def shares(forward: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
         own = table.column("bucket")[0].as_py()
         b = Bucket(table)
         at = np.searchsorted(b.words, b.pair_w)
-        tokens = np.bincount(at, b.count, len(b.words)).astype(np.uint32)
-        kinds = np.bincount(at, minlength=len(b.words)).astype(np.uint32)
+        tokens = np.bincount(at, b.count, len(b.words)).astype(np.int64)
+        kinds = np.bincount(at, minlength=len(b.words))
         mine = np.isin(b.contexts, hot)
         sums = [int((b.count == i).sum()) for i in (1, 2, 3, 4)] + [0] * 7
         word_parts = {k: x for k, x in split(bucket_of(b.words, n_buckets), n_buckets, b.words, tokens, kinds)}
-        none = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        none = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         hot_parts = {k: x for k, x in split(bucket_of(b.contexts[mine], n_buckets), n_buckets, b.contexts[mine], b.after[mine])}
         # every bucket also asks for the totals of all hot contexts that its entries have
         asked = np.intersect1d(np.unique(b.v), hot)
@@ -172,7 +172,7 @@ def shares(forward: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
             w, t, d = word_parts.get(k, none)
             hv, after = hot_parts.get(k, (none[0], np.zeros((0, 4), np.int64)))
             ask = ask_parts.get(k, none[0])
-            yield k, own, pack(w=w, tokens=t, kinds=d, hot=hv, after=after.ravel(), ask=ask), *sums
+            yield k, own, pack(w=w, tokens=narrow(t), kinds=narrow(d), hot=hv, after=after.ravel(), ask=ask), *sums
             sums = [0] * len(SUMS)
 
     return grouped(forward, "bucket", count, SHARE, SHARE_DDL)
@@ -201,7 +201,7 @@ def answers(parts: DataFrame) -> DataFrame:
             known = a["ask"][np.isin(a["ask"], contexts)]
             h = np.searchsorted(contexts, known)
             data = pack(
-                w=a["w"], tokens=tokens[at].astype(np.uint32), kinds=kinds[at].astype(np.uint32),
+                w=a["w"], tokens=narrow(tokens[at]), kinds=narrow(kinds[at]),
                 hot=known, after=np.stack([x[h] for x in after], 1).ravel() if len(h) else np.zeros(0, np.int64),
             )
             yield to, own, data, *sums

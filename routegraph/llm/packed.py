@@ -34,6 +34,11 @@ def pack(**arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(b"".join(parts))
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as the smallest unsigned kind that holds their maximum."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
 def unpack(data: bytes) -> dict[str, np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, {}
     while at < len(raw):

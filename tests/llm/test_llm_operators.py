@@ -218,6 +218,23 @@ def test_lm_scores(spark, corpus):
         assert g[5:] == pytest.approx(w[5:], rel=1e-6, abs=1e-9)
 
 
+def test_word_counts_beyond_32_bits(spark):
+    import numpy as np
+
+    most, one = 2**32 - 1, lambda *x: np.array(x, np.uint64)
+    rows = [  # bucket 0 counts word 7 beyond 32 bits alone, bucket 1 adds to it
+        (0, 0, False, packed.pack(v=one(5), run=np.array([2], np.uint32), w=one(7, 7), doc=np.array([0, 1], np.uint16) | kn_scoring.TRAIN, n=np.array([most, most], np.uint32))),
+        (1, 1, False, packed.pack(v=one(6), run=np.array([1], np.uint32), w=one(7), doc=np.array([0], np.uint16) | kn_scoring.TRAIN, n=np.array([most], np.uint32))),
+    ]
+    forward = spark.createDataFrame([(b, c, d, bytearray(x)) for b, c, d, x in rows], kn_scoring.ENTRY_DDL)
+    told = kn_scoring.answers(kn_scoring.shares(forward, 2, np.array([1, 2], np.uint64))).collect()
+    got = [packed.unpack(bytes(r["data"])) for r in told]
+    assert sorted((r["bucket"], a["w"].tolist(), a["tokens"].tolist(), a["kinds"].tolist()) for r, a in zip(told, got, strict=True)) == [
+        (0, [7], [3 * most], [2]), (1, [7], [3 * most], [2])
+    ]
+    assert sum(r["tokens"] for r in told) == 3 * most
+
+
 def test_language_id(spark, corpus):
     got = QUERIES["op5_language_id"](spark, corpus[0]).collect()
     same([(r["doc_id"], r["held_out"]) for r in got], [(d["doc_id"], brute.held_out(d, 3)) for d in corpus[1]])
