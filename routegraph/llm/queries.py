@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from routegraph.llm.common import benchmark, documents
+from routegraph.llm.conversation_repair import op11_conversation_repair
 from routegraph.llm.decontaminate import OP6_SQL, op6_decontaminate
 from routegraph.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from routegraph.llm.kn_scoring import op7_lm_scoring
@@ -16,7 +17,9 @@ from routegraph.llm.mixing import OP3_SQL, op3_mixing
 from routegraph.llm.ngram_join import op2_ngram_join
 from routegraph.llm.secret_scan import op10_secret_scan
 from routegraph.llm.sharding import op1_sharding
+from routegraph.llm.spelling import OP12_SQL, op12_spelling
 from routegraph.llm.suffix_dedup import op9_suffix_dedup
+from routegraph.llm.warc import OP13_SQL, op13_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +34,15 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": lambda spark, sf: op8_exact_dedup(documents(spark, sf)),
     "op9_suffix_dedup": lambda spark, sf: op9_suffix_dedup(documents(spark, sf)),
     "op10_secret_scan": lambda spark, sf: op10_secret_scan(documents(spark, sf)),
+    "op11_conversation_repair": lambda spark, sf: op11_conversation_repair(spark.read.parquet(f"{sf}/conversations.parquet")),
+    "op12_spelling": lambda spark, sf: op12_spelling(documents(spark, sf)),
+    "op13_warc": lambda spark, sf: op13_warc(spark.read.parquet(f"{sf}/pages.parquet")),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op12_spelling": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }

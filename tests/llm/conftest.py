@@ -57,16 +57,55 @@ def build(seed: int = 11) -> tuple[list[dict], list[dict]]:
     return documents, [{"item_id": i, "text": t} for i, t in enumerate(items)]
 
 
+def pages(rng: random.Random) -> list[dict]:
+    large, larger = prose(rng, "en", 200), prose(rng, "de", 400)
+    bodies = [large, larger, None, "", "a" * 999, "a" * 1000, "é" * 500, "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * 60, "x\r\n\r\n" * 400]
+    rows = [(i, f"https://www.site{i % 3}.org/a/{i % 7}?q=É", bodies[i % len(bodies)]) for i in range(60)]
+    rows += [(i, "http://hot.example/", prose(rng, "fr", 300)) for i in range(60, 90)]
+    rows += [(90, None, large), (91, "", larger), (92, "http://[broken", "b" * 2000), (93, "two lines\nand a tab\t", "b" * 2000), (94, "u:99999999", "b" * 2000)]
+    return [dict(zip(("page_id", "url", "html"), r, strict=True)) for r in rows]
+
+
+def conversations(rng: random.Random) -> list[dict]:
+    texts = ["Yes.", "No!", "why", " \t", "", None, "end. ", "Was. It? So", "é?"]
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", "", None, "User"]
+    rows: list[tuple] = []
+    for c in range(150):
+        n = rng.choice((1, 2, 3, 5, 6))
+        turn = 0
+        for i in range(n):
+            turn += rng.choice((1, 1, 1, 2, 0))
+            plain = rng.random() < 0.6
+            role = ("user", "assistant")[i % 2] if plain else rng.choice(roles)
+            rows.append((c if c != 7 else None, turn if rng.random() < 0.95 else None, role, f"Turn {i}." if plain else rng.choice(texts)))
+    rows += [(200, i, ("user", "assistant")[i % 2], f"{i}.") for i in range(40)] + [(201, 1, "user", "Same.")] * 9
+    rows += [(-3, None, None, None), (202, 1, "system", "Only."), (203, 5, "user", "q " * 50_000)]
+    return [dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in rows]
+
+
 #: Extra columns with the names that operators give or use inside.
 CLASHING = ["_key", "_text", "_hash", "size", "n", "chunk", "bucket", "score", "hit", "items", "_row", "label", "shard"]
 
 
-def write_tables(folder, documents: list[dict], items: list[dict]) -> str:
+#: The same for the operators on pages and conversations.
+CLASHING_MORE = ["_conv", "_turn", "_role", "_copies", "_stands", "_h", "gaps", "cost", "audit", "_sha", "_payload", "_largest", "archive", "offset", "run", "word"]
+
+
+def with_clashes(table: pa.Table, names: list[str]) -> pa.Table:
+    for name in names:
+        table = table.append_column(name, pa.array(["clash"] * table.num_rows, pa.string()))
+    return table
+
+
+def write_tables(folder, documents: list[dict], items: list[dict], page_rows: list[dict] = (), conversation_rows: list[dict] = ()) -> str:
     doc = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())])
     table = pa.Table.from_pylist(documents, schema=doc)
-    for name in CLASHING:
-        table = table.append_column(name, pa.array(["clash"] * table.num_rows, pa.string()))
+    table = with_clashes(table, [*CLASHING, "run", "word", "band", "_doc"])
     pq.write_table(table, f"{folder}/documents.parquet", row_group_size=50)
+    page = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+    turn = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    for name, rows, schema in (("pages", page_rows, page), ("conversations", conversation_rows, turn)):
+        pq.write_table(with_clashes(pa.Table.from_pylist(list(rows), schema=schema), CLASHING_MORE), f"{folder}/{name}.parquet")
     item = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
     pq.write_table(pa.Table.from_pylist(items, schema=item), f"{folder}/benchmark.parquet")
     return str(folder)
@@ -76,7 +115,9 @@ def write_tables(folder, documents: list[dict], items: list[dict]) -> str:
 def corpus(tmp_path_factory):
     """(folder, documents, items)."""
     documents, items = build()
-    return write_tables(tmp_path_factory.mktemp("corpus"), documents, items), documents, items
+    rng = random.Random(5)
+    folder = write_tables(tmp_path_factory.mktemp("corpus"), documents, items, pages(rng), conversations(rng))
+    return folder, documents, items
 
 
 @pytest.fixture(scope="session")
