@@ -1,5 +1,5 @@
 """Scalar Column functions."""
 
-from routegraph.functions.geo import EARTH_RADIUS_KM, haversine_km, haversine_sql
+from routegraph.functions.geo import EARTH_RADIUS_KM, haversine_km
 
-__all__ = ["EARTH_RADIUS_KM", "haversine_km", "haversine_sql"]
+__all__ = ["EARTH_RADIUS_KM", "haversine_km"]

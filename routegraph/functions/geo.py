@@ -30,12 +30,3 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     clamped = F.when(h > 1.0, F.lit(1.0)).otherwise(h)  # NULL stays NULL (least() would skip it)
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
 
-
-def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    """The same formula as SQL text (Spark SQL and DuckDB accept it unchanged)."""
-    h = (
-        f"(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
-        f"cos(radians({lat1})) * cos(radians({lat2})) * "
-        f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))"
-    )
-    return f"({2 * EARTH_RADIUS_KM} * asin(sqrt(CASE WHEN {h} > 1.0 THEN 1.0 ELSE {h} END)))"

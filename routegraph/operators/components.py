@@ -16,7 +16,8 @@ Each step is one aggregation (min per node, with partial aggregation) and one eq
 the node id. As the rounds converge, a component's minimum neighbours every vertex of the
 component, so the joins must cope with such a hub. AQE splits a skewed partition only
 where a shuffle lies directly under each side of the join; the minima are an aggregate, so
-they are written as a table of their own first and both sides are plain scans.
+they are written as a table of their own first and both sides are plain scans. Where as many
+rows as there could be fit the session's broadcast budget, they are broadcast instead.
 Each step is one job that writes its edge set under the checkpoint dir (lineage cut); a
 round returns its fingerprint (count, hash-sum) through an Observation on the write, and
 an unchanged fingerprint is then verified to be a star forest exactly (see ``lineage``).
@@ -27,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routegraph.operators.edges import fits
 from routegraph.operators.graph import Graph
 from routegraph.operators.lineage import RoundTables, fingerprint, row_count
 
@@ -103,6 +105,10 @@ def star_forest(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFr
         kept.append(rel)
         return t.write(df, rel, what or row_count())
 
+    def minima(df: DataFrame, rel: str, most: int) -> DataFrame:
+        """The minima, of which there are no more than ``most``."""
+        return F.broadcast(df) if fits(t.spark, most) else write(df, rel)[0]
+
     def forget(but: str) -> None:
         for rel in [r for r in kept if r != but]:
             t.delete(rel)
@@ -113,9 +119,9 @@ def star_forest(edges: DataFrame, max_rounds: int | None = None) -> tuple[DataFr
         rnd = 0
         while max_rounds is None or rnd < max_rounds:
             rnd += 1
-            least, _ = write(large_minima(e), f"large-minima={rnd}")
-            large, _ = write(large_star(e, least), f"large={rnd}")
-            least, _ = write(small_minima(large), f"small-minima={rnd}")
+            least = minima(large_minima(e), f"large-minima={rnd}", 2 * fp["n"])
+            large, m = write(large_star(e, least), f"large={rnd}")
+            least = minima(small_minima(large), f"small-minima={rnd}", m["n"])
             nxt, cur = write(small_star(large, least), f"round={rnd}", metrics)
             forget(f"round={rnd}")  # nothing reads the others any more
             unchanged = (cur["n"], cur["h"]) == (fp["n"], fp["h"])

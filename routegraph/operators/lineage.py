@@ -79,6 +79,16 @@ class RoundTables:
         except Py4JError as e:  # cleanup must not fail the operator, but must not be silent
             log.warning("%s could not be removed: %s", path, e)
 
+    def files(self, rel: str) -> list[str] | None:
+        """Data files of a table, or None where the session gives no access to its files."""
+        jvm = getattr(self.spark, "_jvm", None)
+        if jvm is None:
+            return None
+        p = jvm.org.apache.hadoop.fs.Path(self.path(rel))
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = (f.getPath() for f in fs.listStatus(p))
+        return [x.toString() for x in paths if not x.getName().startswith(("_", "."))]
+
     def delete(self, rel: str) -> None:
         """Remove a table that no DataFrame reads any more."""
         self._on_path(self.path(rel), "now")

@@ -32,11 +32,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routegraph.operators.edges import fits
 from routegraph.operators.graph import Graph
-
-
-# Tasks over which a hub's rows are dealt in whole-graph counting.
-_SALTS = 8
+from routegraph.operators.lineage import RoundTables, row_count
 
 
 @dataclass(frozen=True)
@@ -136,6 +134,7 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
     cur: DataFrame | None = None
     bound: list[str] = []
     grouped = False  # is ``cur`` already one row per ``bound`` combination?
+    tables: RoundTables | None = None
     for i, e in enumerate(order):
         grouped = False
         names = list(dict.fromkeys([e.src, e.dst]))
@@ -154,7 +153,8 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
             live_t = [n for n in names if n in bound or n in later]
             if len(live_t) < len(names):
                 t = t.groupBy(*live_t).agg(F.sum("_t").alias("_t"))
-            cur = _salted_join(cur, t, shared).withColumn("_m", F.col("_m") * F.col("_t")).drop("_t")
+            tables = tables or RoundTables(g.vertices.sparkSession, "walks")
+            cur = _hub_join(cur, t, shared, tables, str(i)).withColumn("_m", F.col("_m") * F.col("_t")).drop("_t")
             bound += [n for n in new if n in live_t]
             names = []  # existence already checked on the term side
         else:
@@ -168,19 +168,23 @@ def _join_positive(g: Graph, order: list[Edge], seeds: Seeds, mult: bool, keep:
             if len(live) < len(bound) or i == 0:
                 cur = cur.groupBy(*live).agg(F.sum("_m").alias("_m"))
                 bound, grouped = live, True
+    if tables is not None:
+        tables.drop_at_exit()
     return cur, bound, grouped
 
 
-def _salted_join(cur: DataFrame, t: DataFrame, shared: list[str]) -> DataFrame:
-    """``cur`` joined with the per-key counts ``t``, the rows of a hub dealt to _SALTS tasks.
+def _hub_join(cur: DataFrame, t: DataFrame, shared: list[str], tables: RoundTables, rel: str) -> DataFrame:
+    """``cur`` joined with the per-key counts ``t``, a hub's rows not in one task.
 
-    Both sides are aggregates, so AQE cannot split a skewed key here; ``t`` has one row per
-    key combination and is repeated for every salt instead.
+    The counts are written and so counted: if they fit the broadcast budget, ``cur`` is not
+    shuffled at all. Otherwise ``cur`` is written, too: AQE splits a skewed key where both
+    sides are plain scans, which an aggregate under the join is not.
     """
-    rest = [c for c in cur.columns if c not in shared]
-    left = cur.withColumn("_s", F.pmod(F.xxhash64(*rest), F.lit(_SALTS)).cast("int"))
-    right = t.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return left.join(right, [*shared, "_s"]).drop("_s")
+    t, m = tables.write(t, f"{rel}-counts", row_count())
+    if fits(tables.spark, m["n"]):
+        return cur.join(F.broadcast(t), shared)
+    cur, _ = tables.write(cur, f"{rel}-walks", row_count())
+    return cur.join(t, shared)
 
 
 def find(g: Graph, pattern, seeds: Seeds | None = None) -> DataFrame:

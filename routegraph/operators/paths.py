@@ -10,54 +10,35 @@ only the previous round's frontier, so total join work is O(|E| x |landmarks|) a
 all rounds, not per round.
 
 Per round:
-* frontier (id, landmark) joins the distinct reverse edges on ``dst = id``. The frontier's
-  exact row count is known from the previous round; when it fits the session broadcast
-  budget it is broadcast. Otherwise only the frontier is shuffled: the edges are a table
-  bucketed by ``dst`` (and by a salt, which spreads the edges of a vertex that has more
-  than ``hub_edges`` of them over several buckets; the frontier's rows of such vertices
-  are repeated for each salt).
-* candidates are shuffled once, into the buckets of the visited set, de-duplicated there
-  and anti-joined with it. The visited set is one table bucketed by (id, landmark) and is
-  not shuffled. Spark reads a table by buckets only if it has at least as many of them as
-  the session's shuffle partitions, so there are never fewer; more follow the state's size.
+* the frontier (the files of the last append; (id, landmark) rows) joins the distinct reverse
+  edges on ``dst = id``. When its exact row count, known from the previous round, fits the
+  session broadcast budget it is broadcast. Otherwise only the frontier is shuffled: the
+  edges are bucketed by ``dst``, hubs over several buckets (see ``edges.SaltedEdges``).
+* candidates are shuffled once, into the buckets of the visited set, aggregated there (the
+  least next vertex on the way to the landmark) and anti-joined with it. The visited set is
+  one table bucketed by (id, landmark) and is not shuffled. Spark reads a table by buckets
+  only if it has at least as many of them as the session's shuffle partitions, so there are
+  never fewer; more follow the state's size.
 * the new level is appended to that table under the checkpoint dir (see ``lineage``): one
   job per level, lineage cut at every level, and the level's row count comes back through
-  an Observation on that write. The result is the whole table.
+  an Observation on that write. Every ``COMPACT`` levels the table is written anew with one
+  file per bucket, so that a level opens a bounded number of files. The result is the table.
 
-Bucketed tables need a catalog entry: a run creates two external tables in the session's
-current database, or in the one that ``database`` names, and drops both when it ends. A
-driver that dies leaves the entries behind.
 The loop ends on an empty frontier (or ``max_hops``).
 """
 
 from __future__ import annotations
 
-import math
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routegraph.operators.edges import HUB_EDGES, ROWS_PER_BUCKET, BucketedTable, SaltedEdges
 from routegraph.operators.graph import Graph
 from routegraph.operators.lineage import RoundTables, row_count
 
-# Approximate in-memory bytes of one (id, landmark) frontier row, used against the
-# session's broadcast budget.
-_FRONTIER_ROW_BYTES = 48
-# Target rows per bucket of the bucketed tables (~16 bytes each: a few tens of MB per bucket).
-_ROWS_PER_BUCKET = 2_000_000
-# Edges into one vertex from which on they are spread over several buckets.
-_HUB_EDGES = 1_000_000
-
-
-def broadcast_budget_bytes(spark) -> int:
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    raw = str(raw).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix):
-            return int(float(raw[: -len(suffix)]) * units[suffix])
-    return int(raw)
+#: Levels after which the visited table is written anew.
+COMPACT = 8
+_STATE = "id bigint, landmark bigint, hops int, via bigint"
 
 
 def _landmark_ids(g: Graph, landmarks) -> DataFrame:
@@ -69,124 +50,122 @@ def _landmark_ids(g: Graph, landmarks) -> DataFrame:
 
 def hops_to(
     g: Graph, landmarks, max_hops: int | None = None, *, database: str | None = None,
-    rows_per_bucket: int = _ROWS_PER_BUCKET, hub_edges: int = _HUB_EDGES,
+    rows_per_bucket: int = ROWS_PER_BUCKET, hub_edges: int = HUB_EDGES, compact: int = COMPACT,
 ) -> DataFrame:
-    """(id, landmark, hops) for every vertex that can reach a landmark; hops is int."""
+    """(id, landmark, hops) for every vertex that can reach a landmark; hops is int.
+
+    ``landmarks`` are ids or a DataFrame with an ``id`` column."""
+    found = search(
+        g, landmarks, max_hops, database=database, rows_per_bucket=rows_per_bucket, hub_edges=hub_edges, compact=compact
+    )
+    return found.select("id", "landmark", "hops")
+
+
+def search(
+    g: Graph, landmarks, max_hops: int | None = None, *, database: str | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET, hub_edges: int = HUB_EDGES, compact: int = COMPACT,
+) -> DataFrame:
+    """(id, landmark, hops, via): also the least next vertex on a shortest way (null at the end)."""
     if not isinstance(landmarks, DataFrame):
         landmarks = list(landmarks)  # ids; any iterable
-    spark = g.vertices.sparkSession
-    budget = broadcast_budget_bytes(spark)
-    t = RoundTables(spark, "hops")
+    t = RoundTables(g.vertices.sparkSession, "hops")
     # Only the source needs the vertex check: the frontier only ever holds real vertices
     # (landmarks are filtered to vertices, later levels are checked sources), so an edge
     # whose destination is not a vertex can never be reached from it.
     edges = g.edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    tables = []
+    back = visited = None
     try:
         rev, m = t.write(
-            edges.join(g.id_lookup().withColumnRenamed("id", "src"), "src").distinct(), "edges", row_count()
+            edges.join(g.id_lookup().withColumnRenamed("id", "src"), "src").distinct(), "edges",
+            [*row_count(), F.approx_count_distinct("src").alias("sources")],
         )
         start = _landmark_ids(g, landmarks).select(
-            "id", F.col("id").alias("landmark"), F.lit(0).alias("hops")
+            "id", F.col("id").alias("landmark"), F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("via")
         )
         n_landmarks = len(landmarks) if not isinstance(landmarks, DataFrame) else start.count()
-        hubs, h = t.write(
-            rev.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_edges)
-            .select("dst", F.ceil(F.col("n") / hub_edges).cast("int").alias("salts")),
-            "hubs", row_count(),
-        )
-        ways, by = rev, ["dst"]
-        if h["n"]:
-            by = ["dst", "salt"]
-            salts = F.coalesce("salts", F.lit(1))
-            ways = rev.join(_fitting(hubs, h["n"], budget), "dst", "left").select(
-                "src", "dst", F.pmod(F.xxhash64("src"), salts).cast("int").alias("salt")
-            )
-        back = BucketedTable(t, "edges_by_dst", by, m["n"], database, rows_per_bucket)
-        tables.append(back)
-        back.append(ways)
-        # every visited (id, landmark) has id = a landmark or the source of a distinct edge
+        back = SaltedEdges(t, rev, m["n"], "dst", "edges_by_dst", database, rows_per_bucket, hub_edges)
+        # every visited (id, landmark) has id = a landmark or the source of an edge
         visited = BucketedTable(
-            t, "visited", ["id", "landmark"], (m["n"] + n_landmarks) * n_landmarks, database, rows_per_bucket
+            t, "visited", ["id", "landmark"], (m["sources"] + n_landmarks) * n_landmarks, database, rows_per_bucket
         )
-        tables.append(visited)
-        n_level, k = visited.append(start.select("id", "landmark", F.col("hops").cast("int").alias("hops"))), 0
+        n_level, k = visited.append(start), 0
         while n_level > 0 and (max_hops is None or k < max_hops):
-            front = visited.table().filter(F.col("hops") == k)  # Parquet statistics prune other levels
+            front = visited.appended(_STATE)
+            if front is None:  # no listing of files here: Parquet statistics prune other levels
+                front = visited.table().filter(F.col("hops") == k)
             front = front.select(F.col("id").alias("dst"), "landmark")
-            if h["n"]:
-                front = front.join(_fitting(hubs, h["n"], budget), "dst", "left")
-                salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-                front = front.select("dst", "landmark", F.explode(salts).alias("salt"))
-            elif 0 <= budget and n_level * _FRONTIER_ROW_BYTES <= budget:
-                front = F.broadcast(front)  # exact row count known: proven size bound
             k += 1
-            n_level = visited.append(new_level(back, front, visited, k), arranged=True)
-        result = visited.files("id bigint, landmark bigint, hops int")
+            level = new_level(back.met(front, n_level), visited, k)
+            if visited.appends >= compact:
+                level, _ = t.write(level, f"level={k}", row_count())
+                visited = visited.compacted()
+                n_level = visited.append(level)
+                t.delete(f"level={k}")
+            else:
+                n_level = visited.append(level, arranged=True)
+        result = visited.files(_STATE)
         t.drop_at_exit()
         return result
     except BaseException:
         t.drop()
         raise
     finally:
-        for table in tables:
-            table.drop()
+        if visited is not None:
+            visited.drop()
+        if back is not None:
+            back.drop()
         t.delete("edges")
-        t.delete("hubs")
-        t.delete("edges_by_dst")
-
 
-def _fitting(df: DataFrame, rows: int, budget: int) -> DataFrame:
-    """``df`` broadcast if its counted rows fit the session's broadcast budget."""
-    return F.broadcast(df) if 0 <= budget and rows * _FRONTIER_ROW_BYTES <= budget else df
 
+def new_level(met: DataFrame, visited: BucketedTable, k: int) -> DataFrame:
+    """(id, landmark, hops = k, via): sources of edges into the frontier that were not visited.
 
-def new_level(back: "BucketedTable", front: DataFrame, visited: "BucketedTable", k: int) -> DataFrame:
-    """(id, landmark, hops = k): sources of edges into the frontier that were not visited."""
-    reached = back.table().join(front, back.keys).select(F.col("src").alias("id"), "landmark")
-    cand = reached.repartition(visited.buckets, "id", "landmark").distinct()
+    ``met``: the edges (src, dst) that meet the frontier, with its landmarks. The least
+    ``dst`` is found by the aggregation that keeps one row per (id, landmark)."""
+    reached = met.select(F.col("src").alias("id"), "landmark", "dst")
+    cand = reached.repartition(visited.buckets, "id", "landmark").groupBy("id", "landmark").agg(F.min("dst").alias("via"))
     seen = visited.table().select("id", "landmark")
-    return cand.join(seen, ["id", "landmark"], "left_anti").withColumn("hops", F.lit(k).cast("int"))
-
-
-class BucketedTable:
-    """A table under the checkpoint dir, bucketed by ``keys`` and appended to.
-
-    Spark assigns buckets with the hash of a shuffle, so a join on the keys shuffles only
-    its other side, provided the table has no fewer buckets than the session has shuffle
-    partitions. It is an external table: dropping it keeps the files.
-    """
+    return cand.join(seen, ["id", "landmark"], "left_anti").select(
+        "id", "landmark", F.lit(k).cast("int").alias("hops"), "via"
+    )
 
-    def __init__(
-        self, t: RoundTables, name: str, keys: list[str], max_rows: int, database: str | None, rows_per_bucket: int
-    ) -> None:
-        self.spark, self.keys, self.path = t.spark, keys, t.path(name)
-        self.name = f"{database + '.' if database else ''}routegraph_{name}_{uuid.uuid4().hex}"
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        self.buckets = max(1, partitions, math.ceil(max_rows / rows_per_bucket))
-
-    def append(self, df: DataFrame, arranged: bool = False) -> int:
-        """Append rows, ``arranged`` if they are already partitioned like the buckets."""
-        obs = Observation()
-        if not arranged:
-            df = df.repartition(self.buckets, *self.keys)  # one file per bucket
-        (
-            df.observe(obs, F.count(F.lit(1)).alias("n"))
-            .write.mode("append")
-            .bucketBy(self.buckets, *self.keys)
-            .option("path", self.path)
-            .saveAsTable(self.name)
-        )
-        return obs.get["n"]
 
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+def shortest_paths(g: Graph, origins, landmarks, max_hops: int | None = None, **options) -> DataFrame:
+    """(origin, landmark, step, id): the vertices of one shortest path for every pair.
 
-    def files(self, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path)
+    Of several shortest paths it is the least by the ids along it. ``origins`` are ids, a
+    DataFrame with an ``id`` column, or None for all vertices. A pair without a path has no
+    rows; a landmark that is its own origin has step 0 alone.
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+    The search leaves the next vertex towards each landmark; paths are rebuilt by following
+    it, all pairs at once and a step per round, so no path is collected while it grows.
+    """
+    towards = search(g, landmarks, max_hops, **options)
+    t = RoundTables(g.vertices.sparkSession, "paths")
+    try:
+        at = towards.select(F.col("id").alias("origin"), "landmark", "id", "hops", "via")
+        if origins is not None:
+            wanted = origins if isinstance(origins, DataFrame) else None
+            if wanted is None:
+                at = at.filter(F.col("origin").isin(list(origins)))
+            else:
+                at = at.join(wanted.select(F.col("id").alias("origin")).distinct(), "origin", "left_semi")
+        step, m = t.write(at, "step=0", [F.max("hops").alias("longest")])
+        steps = [step]
+        ahead = towards.select("id", "landmark", "hops", "via")
+        for k in range(1, (m["longest"] or 0) + 1):
+            on = steps[-1].filter("via IS NOT NULL").select("origin", "landmark", F.col("via").alias("id"))
+            step, _ = t.write(
+                on.join(ahead, ["id", "landmark"]).select("origin", "landmark", "id", "hops", "via"), f"step={k}", row_count()
+            )
+            steps.append(step)
+        # one scan of all steps: the folder names them
+        schema = "origin bigint, landmark bigint, id bigint, hops int, via bigint, step int"
+        t.drop_at_exit()
+        return t.spark.read.schema(schema).parquet(t.root).select("origin", "landmark", "step", "id")
+    except BaseException:
+        t.drop()
+        raise
 
 
 def hops_map(g: Graph, hops: DataFrame) -> DataFrame:

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from routegraph.plans import reports as R
+from routegraph.plans import timelines as T
 from routegraph.plans.network import Network
 from routegraph.plans.params import (
     CARRIERS,
+    CLICK_WINDOW_S,
     COUNTRY_THRESHOLD,
     HUB,
+    LABEL_ROUNDS,
     LANDMARK_A,
     LANDMARK_B,
     LOOKUP_NAME,
     MIN_CITIES,
     MIN_COMPONENT_SIZE,
     NO_RETURN_ORIGIN,
+    RANK_ROUNDS,
     TOP_AIRLINES,
     TOP_RATIO,
     TOP_ROUTES,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "two_leg_distance": _on_network(lambda n: R.two_leg_distance(n, NO_RETURN_ORIGIN)),
     # hops
     "hops_to_landmarks": _on_network(lambda n: R.hops_long(n, [A, B])),
+    "hops_to_named": _on_network(lambda n: R.hops_to_named(n, LOOKUP_NAME)),
     "hops_map": _on_network(lambda n: R.hops_text(n, [A, B])),
     "hops_map_lookup": _on_network(lambda n: R.hops_map_lookup(n, A, B)),
     "hops_closer_to_a": _on_network(lambda n: R.hops_filtered(n, A, B, "closer_to_a")),
@@ -104,6 +109,20 @@ QUERIES: dict[str, Query] = {
     "carrier_subgraph": _on_network(lambda n: R.carrier_subgraph(n, CARRIERS)),
     "carrier_components": _on_network(lambda n: R.carrier_components(n, CARRIERS)),
     "dot_export": _on_network(lambda n: R.dot_export(n, CARRIERS)),
+    # vertex programs and paths
+    "pagerank": _on_network(lambda n: R.airport_ranks(n, RANK_ROUNDS)),
+    "hops_by_messages": _on_network(lambda n: R.hops_as_messages(n, A)),
+    "triangle_counts": _on_network(R.airport_triangles),
+    "label_propagation": _on_network(lambda n: R.airport_labels(n, LABEL_ROUNDS)),
+    "shortest_path_steps": _on_network(lambda n: R.path_steps(n, [A, B])),
+    # time
+    "last_click": T.last_click,
+    "order_before_shipment": T.order_before_shipment,
+    "errors_after_click": lambda spark, sf: T.errors_after_click(spark, sf, CLICK_WINDOW_S),
+    "hourly_stream": T.hourly_stream,
+    # summaries
+    "user_sketches": T.user_sketches,
+    "flights_cube": _on_network(R.flights_cube),
 }
 
 # Smoke entry: the widest single question (motif with negation, vertex attributes,

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from routegraph.plans.params import (
     CARRIERS,
+    CLICK_WINDOW_S,
     COUNTRY_THRESHOLD,
     HUB,
+    LABEL_ROUNDS,
     LANDMARK_A,
     LANDMARK_B,
     LOOKUP_NAME,
     MIN_CITIES,
     MIN_COMPONENT_SIZE,
     NO_RETURN_ORIGIN,
+    RANK_ROUNDS,
     TOP_AIRLINES,
     TOP_RATIO,
     TOP_ROUTES,
@@ -133,6 +136,60 @@ SELECT v.id, coalesce(l.comp, v.id) AS component
 FROM ({_NON_ISOLATED}) v LEFT JOIN lab l ON l.id = v.id"""
 
 
+def _ranks(rounds: int) -> str:
+    """PageRank, a common table expression for each round."""
+    steps = [
+        """,
+pr_pairs AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS n FROM re GROUP BY src, dst),
+pr_out AS MATERIALIZED (SELECT src, sum(n) AS total FROM pr_pairs GROUP BY src),
+pr_0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM airports) AS rank FROM airports)"""
+    ]
+    for k in range(1, rounds + 1):
+        steps.append(
+            f""",
+pr_{k} AS MATERIALIZED (
+  SELECT v.id, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM pr_{k - 1} WHERE id NOT IN (SELECT src FROM pr_out)))
+      / (SELECT count(*) FROM airports) + 0.85 * coalesce(m.rank, 0) AS rank
+  FROM airports v LEFT JOIN (
+    SELECT p.dst AS id, sum(r.rank * p.n / o.total) AS rank
+    FROM pr_{k - 1} r JOIN pr_pairs p ON p.src = r.id JOIN pr_out o ON o.src = r.id GROUP BY p.dst) m ON m.id = v.id)"""
+        )
+    return "".join(steps)
+
+
+def _labels(rounds: int) -> str:
+    """Label propagation, a common table expression for each round."""
+    steps = [
+        """,
+lp_pairs AS MATERIALIZED (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT src, dst FROM re WHERE src <> dst UNION ALL SELECT dst, src FROM re WHERE src <> dst) GROUP BY src, dst),
+lp_0 AS MATERIALIZED (SELECT id, id AS label FROM airports)"""
+    ]
+    for k in range(1, rounds + 1):
+        steps.append(
+            f""",
+lp_{k} AS MATERIALIZED (
+  SELECT l.id, coalesce(m.label, l.label) AS label
+  FROM lp_{k - 1} l LEFT JOIN (
+    SELECT id, first(label ORDER BY votes DESC, label) AS label FROM (
+      SELECT p.dst AS id, o.label, sum(p.n) AS votes FROM lp_pairs p JOIN lp_{k - 1} o ON o.id = p.src
+      GROUP BY p.dst, o.label) GROUP BY id) m ON m.id = l.id)"""
+        )
+    return "".join(steps)
+
+
+_WALK = """,
+walk(origin, landmark, step, id, hops) AS (
+  SELECT id, landmark, 0, id, hops FROM hops
+  UNION ALL
+  (SELECT w.origin, w.landmark, w.step + 1, min(g.dst), w.hops - 1
+   FROM walk w JOIN hop_e g ON g.src = w.id
+   JOIN hops h ON h.id = g.dst AND h.landmark = w.landmark AND h.hops = w.hops - 1
+   WHERE w.hops > 0 GROUP BY w.origin, w.landmark, w.step, w.hops))
+"""
+
+
 def _q(s: str) -> str:
     """DOT double-quoted string, escaped like the Spark side."""
     return (
@@ -155,8 +212,8 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT country, count(id) AS n_airports FROM airports GROUP BY country"
     ),
     "countries_over": _with(
-        f"""SELECT country, count(iata) AS n_coded FROM airports GROUP BY country
-            HAVING count(iata) > {COUNTRY_THRESHOLD} ORDER BY n_coded DESC, country"""
+        f"""SELECT country, count(iata) AS n_airports FROM airports GROUP BY country
+            HAVING count(iata) > {COUNTRY_THRESHOLD} ORDER BY n_airports DESC, country"""
     ),
     "top_airlines": _with(
         f"""SELECT * FROM (
@@ -168,7 +225,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "top_routes": _with(
         f"""SELECT p.airport_source_id, p.airport_destination_id, s.name AS source_name,
-                   s.city AS source_town, d.name AS destination_name, d.city AS destination_town,
+                   s.city AS source_city, d.name AS destination_name, d.city AS destination_city,
                    p.n_flights
             FROM (SELECT airport_source_id, airport_destination_id,
                          count(airport_source_id) AS n_flights
@@ -256,6 +313,10 @@ ORACLE_SQL: dict[str, str] = {
             FROM legs"""
     ),
     "hops_to_landmarks": _hops("SELECT id, landmark, hops FROM hops"),
+    "hops_to_named": _hops(
+        f"""SELECT id, landmark, hops FROM hops
+            WHERE landmark IN (SELECT id FROM airports WHERE name = '{LOOKUP_NAME}')"""
+    ),
     "hops_map": _hops(
         """SELECT v.id, v.name, coalesce(m.distances, '') AS distances
            FROM airports v LEFT JOIN (
@@ -310,4 +371,53 @@ ORACLE_SQL: dict[str, str] = {
             SELECT {_q('src')} || ' -> ' || {_q('dst')} || ' [label=' || {_q('icao')} || '];'
             FROM carrier_e"""
     ),
+    "pagerank": _with(f"SELECT id, round(rank, 9) AS rank FROM pr_{RANK_ROUNDS}", _ranks(RANK_ROUNDS)),
+    "hops_by_messages": _hops(f"SELECT id, landmark, hops FROM hops WHERE landmark = {LANDMARK_A}"),
+    "triangle_counts": _with(
+        """SELECT v.id, count(t.id) AS n_triangles FROM airports v LEFT JOIN (
+             SELECT unnest([a.x, a.y, b.y]) AS id
+             FROM ud a JOIN ud b ON a.y = b.x JOIN ud c ON c.x = a.x AND c.y = b.y) t ON t.id = v.id
+           GROUP BY v.id""",
+        """,
+ud AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM re WHERE src <> dst)""",
+    ),
+    "label_propagation": _with(f"SELECT id, label FROM lp_{LABEL_ROUNDS}", _labels(LABEL_ROUNDS)),
+    "shortest_path_steps": _with(
+        "SELECT origin, landmark, step, id FROM walk",
+        _HOPS.format(a=LANDMARK_A, b=LANDMARK_B).rstrip() + _WALK,
+        recursive=True,
+    ),
+    "last_click": """
+        SELECT e.event_id, e.user_id, c.event_id AS click_id,
+               round((epoch_us(e.ts) - epoch_us(c.ts)) / 1e6, 3) AS seconds
+        FROM events e LEFT JOIN (
+          SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) c
+          ON c.user_id = e.user_id AND c.ts = (
+            SELECT max(x.ts) FROM events x WHERE x.event_type = 'click' AND x.user_id = e.user_id AND x.ts < e.ts)""",
+    "order_before_shipment": """
+        SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, p.o_orderkey AS last_orderkey
+        FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+        ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) p
+          ON p.o_custkey = o.o_custkey AND p.o_orderdate <= l.l_shipdate""",
+    "errors_after_click": f"""
+        SELECT c.event_id AS click_id, e.event_id AS error_id
+        FROM events c JOIN events e
+          ON c.event_type = 'click' AND e.event_type = 'error'
+         AND epoch_us(e.ts) BETWEEN epoch_us(c.ts) AND epoch_us(c.ts) + {CLICK_WINDOW_S * 1_000_000}""",
+    "hourly_stream": """
+        SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, event_type, count(*) AS n_events,
+               sum(round(value * 100)::BIGINT)::BIGINT AS cents
+        FROM events
+        GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type
+        HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
+               <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE""",
+    "user_sketches": """
+        SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_users, true AS within_error
+        FROM events GROUP BY event_type
+        UNION ALL SELECT 'all kinds', count(*), count(DISTINCT user_id), true FROM events""",
+    "flights_cube": _with(
+        """SELECT l.icao, p.country, p.city, grouping(l.icao, p.country, p.city)::INT AS level, count(*) AS n_flights
+           FROM clean c JOIN airports p ON c.airport_source_id = p.id JOIN airlines l ON c.airline_id = l.airline_id
+           GROUP BY CUBE (l.icao, p.country, p.city)"""
+    ),
 }

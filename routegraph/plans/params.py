@@ -18,3 +18,6 @@ NO_RETURN_ORIGIN = 7  # "Tancredo Neves": no-return motif and distances
 CARRIERS = ("C1", "C2")  # two carriers for the drawn subgraph
 MIN_CITIES = 5
 MIN_COMPONENT_SIZE = 2
+RANK_ROUNDS = 10  # rounds of PageRank
+LABEL_ROUNDS = 3  # rounds of label propagation
+CLICK_WINDOW_S = 300  # errors no later than this after a click

@@ -13,7 +13,7 @@ from routegraph.plans.catalog import QUERIES
 from routegraph.plans.oracle import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["nation", "customer", "supplier", "orders", "lineitem"]
+TABLES = ["nation", "customer", "supplier", "orders", "lineitem", "events"]
 # reports that show their rows in a stated order
 ORDERED = ["countries_over", "degree_ratio", "top_airlines", "top_routes"]
 

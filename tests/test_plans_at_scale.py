@@ -61,7 +61,7 @@ def test_visited_set_is_not_shuffled(spark, conf, rows, by):
         back.append(edges.select("src", *by))
         assert visited.buckets >= int(spark.conf.get("spark.sql.shuffle.partitions"))
         front = pairs.select(F.col("id").alias("dst"), "landmark", (F.col("id") % 2).alias("salt")).select("landmark", *by)
-        text = plan(P.new_level(back, front, visited, 1))
+        text = plan(P.new_level(back.table().join(front, by), visited, 1))
         assert text.count("Bucketed: true") == 2 and "Bucketed: false" not in text
         tree = text.split("\n\n\n")[0]
         # one exchange for the frontier, one for the candidates, none for the tables

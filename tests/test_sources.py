@@ -57,11 +57,11 @@ def test_network_from_files_answers(spark, tmp_path):
     counts = R.route_counts_clean(net).first()
     assert (counts["n_routes"], counts["n_clean"]) == (7, 5)
     # count(iata): the "\N" code of airport 2 is missing, so Landia has 1 coded airport
-    per_country = {r["country"]: r["n_coded"] for r in R.countries_over(net, 0).collect()}
+    per_country = {r["country"]: r["n_airports"] for r in R.countries_over(net, 0).collect()}
     assert per_country == {"Landia": 1, "Otherland": 2}
     top = R.top_routes(net, 1).first()
     assert (top["airport_source_id"], top["airport_destination_id"], top["n_flights"]) == (1, 2, 2)
-    assert top["source_name"] == "Alpha Airport" and top["destination_town"] == "Beta"
+    assert top["source_name"] == "Alpha Airport" and top["destination_city"] == "Beta"
     # the golden distance of the reference, through the report path (1 -> 2)
     lengths = {(r["src"], r["dst"]): r["distance_km"] for r in R.route_lengths(net).collect()}
     assert lengths[(1, 2)] == round(2186.1514575333313, 3)
