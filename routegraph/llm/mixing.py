@@ -30,31 +30,53 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.25, 1.0, 0.75), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the rank of each source by code point, null last, from 0 (a written table).
+
+    Sources are range-partitioned by name, so a rank is the number of sources in earlier
+    ranges, one number per partition, plus the place in the own one.
+    """
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id())
+    ranged = written(ranged, "mix-sources")
+    counts = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    earlier = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    # a row for each partition of the session, whatever the number of sources
+    offsets = F.broadcast(sizes.sparkSession.createDataFrame(earlier, "_part int, _earlier long"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("rank", place - 1).join(offsets, "_part").withColumn("rank", F.col("rank") + F.col("_earlier"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, repeats: float) -> DataFrame:
     """(_src, source, source_size, rank, target) from one row (_src, source, source_size) per source.
 
-    The level at which least(repeats * size, level * weight) adds up to the demand is found
-    from the sources ordered by repeats * size / weight: those below the level are full.
+    The level at which least(repeats * size, level * weight) adds up to the demand: from the
+    level without any limit, sources whose limit lies below it are taken as full and the
+    level of the others is raised, until no more become full. Each step sums over the table of
+    sources; the demand is concave in the level, so the steps are few.
     """
-    all_rows = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    full = Window.orderBy("_ratio", "_src")
-    rank = F.row_number().over(by_name) - 1
-    s = (
-        sizes.withColumn("rank", rank)
+    s = written(
+        ranked(sizes)
         .withColumn("_w", F.element_at(F.lit(list(weights)), (F.col("rank") % len(weights) + 1).cast("int")))
         .withColumn("_cap", F.col("source_size") * repeats)
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
-        .withColumn("_total", F.sum("source_size").over(all_rows) * share)
-        .withColumn("_below", F.coalesce(F.sum("_cap").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_open", F.sum("_w").over(full.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_below")) / F.col("_open"))
-        .withColumn("_final", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(all_rows))
-    )
-    return s.select(
-        "_src", "source", "source_size", "rank",
-        F.least("_cap", F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap"))).alias("target"),
+        .select("_src", "source", "source_size", "rank", "_w", "_cap", "_ratio"),
+        "mix-ranked",
     )
+    whole = s.agg(F.sum("source_size"), F.sum("_w")).first()
+    level, full = None, 0
+    if whole[1]:
+        demand = whole[0] * share
+        level = demand / whole[1]
+        while level is not None:
+            below = F.col("_ratio") < level
+            cap, open_, n = s.agg(
+                F.sum(F.when(below, F.col("_cap"))), F.sum(F.when(~below, F.col("_w"))), F.count_if(below)
+            ).first()
+            if n == full:
+                break
+            full, level = n, (demand - (cap or 0.0)) / open_ if open_ else None
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), level * F.col("_w"))
+    return s.select("_src", "source", "source_size", "rank", target.alias("target"))
 
 
 def invert_demand(u: Column, rank: Column, schedules: Sequence[Sequence[float]]) -> Column:
