@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import text_or_empty, written
+from routegraph.llm.common import let, text_or_empty, written
 
 #: Fixed patterns of the base kinds, in the order of the contract: (kind, pattern, group of
 #: the secret, least length of that group).
@@ -42,6 +42,35 @@ KINDS = [k[0] for k in (*BASE, KEY)]
 SPAN = "struct<start:int,kind:int,end:int,hash:bigint>"
 
 
+#: Elements of an array that one fold collects; its copies of what it has grow with their square.
+FOLD = 512
+
+
+def scanned(items: Column, value, op, zero: int, emit) -> Column:
+    """``emit(state, item)`` for every item, the state being ``op`` over the values before it.
+
+    Folds over stretches of ``FOLD`` items, each begun with what ``op`` gives for the stretches
+    before: what a fold has collected is copied at every step, so one fold over the whole
+    array would take time with the square of its length.
+    """
+    last = F.floor((F.size(items) - 1) / FOLD).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * FOLD + 1, F.lit(FOLD)))
+    totals = F.transform(stretches, lambda c: F.aggregate(c, F.lit(zero), lambda a, x: op(a, value(x))))
+
+    def collect(over: Column, start: Column, step, out) -> Column:
+        none = F.slice(F.transform(over, lambda x: out(start, x)), 1, 0)
+        return F.aggregate(
+            over, F.struct(start.alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                op(acc["at"], step(x)).alias("at"), F.concat(acc["out"], F.array(out(acc["at"], x))).alias("out")
+            ),
+            lambda acc: acc["out"],
+        )
+
+    starts = collect(totals, F.lit(zero), lambda x: x, lambda at, x: at)
+    return F.flatten(F.zip_with(stretches, starts, lambda c, start: collect(c, start, value, emit)))
+
+
 def matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """All leftmost non-overlapping matches with code point places, less those too short.
 
@@ -56,23 +85,55 @@ def matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Co
         (F.regexp_extract_all(text, p, F.lit(group)) if group else whole).alias("secret"),
     )
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["whole"])
-        span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
-            F.xxhash64(m["secret"]).alias("hash"),
-        )
+    def span(at: Column, m: Column) -> Column:
+        start = at + F.length(m["gap"])
         return F.struct(
-            end.alias("at"),
-            F.when(F.length(m["secret"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
+            start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m["whole"])).alias("end"),
+            F.xxhash64(m["secret"]).alias("hash"), (F.length(m["secret"]) >= least).alias("long"),
         )
 
     none = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+    found = let(
+        parts,
+        lambda hits: F.transform(
+            F.filter(scanned(hits, lambda m: F.length(m["gap"]) + F.length(m["whole"]), Column.__add__, 0, span), lambda s: s["long"]),
+            plain,
+        ),
+    )
     return F.when(F.regexp_like(text, p), found).otherwise(none)
 
 
+def plain(span: Column) -> Column:
+    return F.struct(*[span[f].alias(f) for f in ("start", "kind", "end", "hash")])
+
+
+def apart(keys: Column, base: Column) -> Column:
+    """Those of ``keys`` that no span of ``base`` overlaps, both sorted by start.
+
+    In the merged order, a base span before a key overlaps it if the furthest end so far lies
+    beyond the key's start, one behind it if the next base span starts before its end.
+    """
+    far = (1 << 31) - 1
+    is_key = lambda s: s["kind"] == len(BASE)
+
+    def flagged(over: Column) -> Column:
+        def mark(at: Column, s: Column) -> Column:
+            return F.struct(*[s[f].alias(f) for f in ("start", "kind", "end", "hash")], (at <= s["start"]).alias("free"))
+
+        return scanned(over, lambda s: F.when(is_key(s), 0).otherwise(s["end"]), F.greatest, 0, mark)
+
+    def kept(at: Column, s: Column) -> Column:
+        return F.struct(*[s[f].alias(f) for f in ("start", "kind", "end", "hash")], (s["free"] & is_key(s) & (at >= s["end"])).alias("free"))
+
+    def both(merged: Column) -> Column:
+        back = F.reverse(flagged(merged))
+        ends = let(back, lambda b: scanned(b, lambda s: F.when(is_key(s), far).otherwise(s["start"]), F.least, far, kept))
+        return F.transform(F.filter(F.reverse(ends), lambda s: s["free"]), plain)
+
+    merged = let(F.sort_array(F.concat(base, keys)), both)
+    return F.when((F.size(keys) == 0) | (F.size(base) == 0), keys).otherwise(merged)
+
+
 def joined(spans: Column, *more: str) -> Column:
     """kind:start:end of sorted spans, and more of their fields, comma-joined."""
     kinds = F.lit(KINDS)
@@ -95,10 +156,7 @@ def scan_secrets(
             F.sort_array(F.concat(*[matches(F.col("_text"), k, p, g, n) for k, (_, p, g, n) in enumerate(BASE)])).alias("_base"),
             matches(F.col("_text"), len(BASE), *KEY[1:]).alias("_keys"),
         )
-        .withColumn(
-            "_keys",
-            F.filter("_keys", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))),
-        )
+        .withColumn("_keys", apart(F.col("_keys"), F.col("_base")))
         .withColumn("_row", F.monotonically_increasing_id()),
         "secret-candidates",
     )
