@@ -19,8 +19,9 @@ The models are fitted on at most ``SAMPLE`` rows per language, taken by the smal
 hashes of their keys; their whole texts count. That bounds the models, which are broadcast.
 Prediction covers every row.
 
-Defined results: ``und`` with score 0 for null texts and texts without a letter; without
-any labelled row every text is ``und``; an empty table gives no rows.
+Defined results: ``und`` with score 0 for null texts and texts without a letter; a label whose
+fitted rows hold no letter has no model and is never predicted; without any model every text
+is ``und``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routegraph.llm.common import written
+
 ORDER = 4
 SAMPLE = 1000
 DISCOUNT = 0.75
@@ -47,15 +50,22 @@ BATCH_CHARS = 1 << 19
 SPACE, START = 32, 0
 
 
-def letter_table() -> np.ndarray:
-    """For every code point up to 0xFFFF whether it is a letter; those above count as spaces
-    in the n-grams, which have 16 bits for a character."""
-    if letter_table.made is None:
-        letter_table.made = np.array([chr(c).isalpha() for c in range(0x10000)] + [False])
-    return letter_table.made
+def symbols() -> np.ndarray:
+    """For every code point its 16-bit symbol in the n-grams, SPACE for what is no letter.
+
+    Letters up to U+FFFF stand for themselves. Those above, whole scripts among them, are
+    folded into the codes of surrogates and private use, which are never letters: letters
+    of one script stay apart, and every letter counts as one.
+    """
+    if symbols.made is None:
+        code = np.arange(0x110000, dtype=np.uint32)
+        folded = np.where(code < 0x10000, code, 0xD800 + code % (0xF900 - 0xD800))
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        symbols.made = np.where(letter, folded, SPACE).astype(np.uint64)
+    return symbols.made
 
 
-letter_table.made = None
+symbols.made = None
 
 
 def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +75,7 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first characters have START symbols before them. Every text ends with a space.
     """
     low = [t.lower() + " " for t in texts]
-    raw = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    raw = np.where(letter_table()[np.minimum(raw, 0x10000)], raw, SPACE)
+    raw = symbols()[np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)]
     ends = np.cumsum([len(t) for t in low])
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     space = raw == SPACE
@@ -74,7 +83,7 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doubled[1:] &= space[:-1]
     doubled[begins] = space[begins]  # none at the start of a text
     kept = np.concatenate([[0], np.cumsum(~doubled)])
-    starts, codes = kept[begins], raw[~doubled].astype(np.uint64)
+    starts, codes = kept[begins], raw[~doubled]
     keys = codes.copy()
     at = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
     for back in range(1, ORDER):
@@ -149,9 +158,10 @@ class KneserNey:
             out[miss[known]] += self.loggamma[n][c[known]]
         return out
 
-    def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(nats per character for each text and language, characters of each text)."""
+    def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats per character for each text and language, characters of each text, has it a letter?)."""
         out, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        lettered = np.zeros(len(texts), bool)
         first = 0
         while first < len(texts):
             last, size = first, 0
@@ -168,8 +178,10 @@ class KneserNey:
                 sums[owner[cut]] += np.add.reduceat(part, cut)
             out[first:last] = -sums / np.maximum(lens, 1)[:, None]
             sizes[first:last] = lens
+            letters = np.concatenate([[0], np.cumsum((keys & np.uint64(0xFFFF)) != SPACE)])
+            lettered[first:last] = letters[starts + lens] > letters[starts]
             first = last
-        return out, sizes
+        return out, sizes, lettered
 
 
 def length_class(sizes: np.ndarray) -> np.ndarray:
@@ -211,22 +223,23 @@ def crc_of(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
 
 
-def _slices(train: DataFrame, key: str, text: str, lang: str, sample: int) -> tuple[list[str], Column, Column]:
-    """(languages, condition of the rows to fit on, condition of those to calibrate on).
+def _slices(train: DataFrame, key: str, text: str, lang: str, sample: int) -> DataFrame:
+    """(lang, text, fit, check): rows to fit on and rows to calibrate on.
 
-    One row per language reaches the driver. Rows are told apart by a hash of key and text.
+    Shares follow each label's number of rows, a table of one row per label that is joined,
+    not collected. Rows are told apart by a hash of key and text.
     """
-    sizes = {r[0]: r[1] for r in train.groupBy(lang).agg(F.count(F.lit(1))).collect()}
-    languages = sorted(sizes)
     unit = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("sample"), key, text), F.lit(unit))
-    fit, check = F.lit(False), F.lit(False)
-    for name in languages:
-        share = min(0.8, sample / sizes[name])
-        low, high = int(unit * share), int(unit * min(1.0, share + max(0.2, share) if share < 0.8 else 1.0))
-        fit = fit | ((F.col(lang) == name) & (draw < low))
-        check = check | ((F.col(lang) == name) & (draw >= low) & (draw < high))
-    return languages, fit, check
+    share = F.least(F.lit(0.8), sample / F.col("_n"))
+    more = F.when(share < 0.8, F.greatest(F.lit(0.2), share)).otherwise(1.0)
+    sizes = train.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("_n"))
+    bounds = sizes.select(
+        "lang", F.floor(unit * share).alias("_low"), F.floor(unit * F.least(F.lit(1.0), share + more)).alias("_high")
+    )
+    draw = F.pmod(F.xxhash64(F.lit("sample"), key, text), F.lit(unit)).alias("_draw")
+    rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw).join(written(bounds, "languages"), "lang")
+    fit = F.col("_draw") < F.col("_low")
+    return rows.select("lang", "text", fit.alias("fit"), (~fit & (F.col("_draw") < F.col("_high"))).alias("check"))
 
 
 def count_grams(rows: DataFrame) -> DataFrame:
@@ -240,7 +253,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 for first in range(0, len(own), 256):
                     keys, n = np.unique(gram_keys(own[first : first + 256])[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)],
+                        [pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
                         names=["lang", "gram", "n"],
                     )
 
@@ -250,16 +263,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 def fit_models(train: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE) -> KneserNey | None:
     """Models and rejection limits from rows with non-null text and language."""
-    languages, fit, check = _slices(train, key, text, lang, sample)
-    if not languages:
-        return None
-    rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text"), fit.alias("fit"), check.alias("check"))
+    rows = _slices(train, key, text, lang, sample)
     # at most one row per n-gram of the bounded sample reaches the driver
     counts = count_grams(rows.filter("fit").select("lang", "text")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
     names = np.array(counts.column("lang").to_pylist(), object)
     grams, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy()
     per_language = []
-    fitted = [x for x in languages if (names == x).any()]
+    fitted = sorted(set(names))  # a label without a letter in its rows has no model
     for name in fitted:
         own, order = names == name, np.argsort(grams[names == name])
         per_language.append((grams[own][order], n[own][order]))
@@ -282,10 +292,10 @@ def calibrated(rows: DataFrame, model: KneserNey) -> np.ndarray:
         m = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            entropy, sizes = m.cross_entropies(texts)
+            entropy, sizes, lettered = m.cross_entropies(texts)
             best = entropy.argmin(1)
             right = np.array([m.languages[b] == name for b, name in zip(best, batch.column(0).to_pylist(), strict=True)], bool)
-            right &= np.array([any(map(str.isalpha, t)) for t in texts], bool)
+            right &= lettered
             step = np.ceil(entropy[np.arange(len(best)), best] * STEPS).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[right]) for x in (best, length_class(sizes), step)], names=["lang", "length", "step"]
@@ -316,11 +326,10 @@ def predict(
         m = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            entropy, sizes = m.cross_entropies(texts)
+            entropy, sizes, lettered = m.cross_entropies(texts)
             best = entropy.argmin(1)
             least = entropy[np.arange(len(best)), best]
             share = 1 / np.exp(np.maximum((least[:, None] - entropy) * sizes[:, None], -700)).sum(1)
-            lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             over = ~lettered | (least > m.limits[best, length_class(sizes)])
             yield pa.RecordBatch.from_arrays(
                 [
