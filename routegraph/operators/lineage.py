@@ -43,6 +43,23 @@ def fingerprint(*cols: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(h), F.lit(0)).alias("h")]
 
 
+def remove(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    """Delete a folder now, or when the application ends; on any file system Spark writes to."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # a remote session has no JVM here: its folders are left behind
+        log.warning("%s stays: no access to its file system", path)
+        return
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if at_exit:
+            fs.deleteOnExit(p)
+        else:
+            fs.delete(p, True)
+    except Py4JError as e:  # cleanup must not fail the operator, but must not be silent
+        log.warning("%s could not be removed: %s", path, e)
+
+
 class RoundTables:
     """Parquet tables for the rounds of one iterative run, under the checkpoint dir."""
 
@@ -63,22 +80,6 @@ class RoundTables:
     def read(self, rel: str, schema: StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(rel))
 
-    def _on_path(self, path: str, action: str) -> None:
-        # Hadoop FileSystem: works for file://, hdfs://, s3a://...
-        jvm = getattr(self.spark, "_jvm", None)
-        if jvm is None:  # a remote session has no JVM here: its folders are left behind
-            log.warning("%s stays: no access to its file system", path)
-            return
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            if action == "now":
-                fs.delete(p, True)
-            else:
-                fs.deleteOnExit(p)
-        except Py4JError as e:  # cleanup must not fail the operator, but must not be silent
-            log.warning("%s could not be removed: %s", path, e)
-
     def files(self, rel: str) -> list[str] | None:
         """Data files of a table, or None where the session gives no access to its files."""
         jvm = getattr(self.spark, "_jvm", None)
@@ -91,12 +92,12 @@ class RoundTables:
 
     def delete(self, rel: str) -> None:
         """Remove a table that no DataFrame reads any more."""
-        self._on_path(self.path(rel), "now")
+        remove(self.spark, self.path(rel))
 
     def drop(self) -> None:
         """Remove everything of this run."""
-        self._on_path(self.root, "now")
+        remove(self.spark, self.root)
 
     def drop_at_exit(self) -> None:
         """Remove what is left of this run when the application ends."""
-        self._on_path(self.root, "exit")
+        remove(self.spark, self.root, at_exit=True)
