@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routegraph.operators.lineage import remove
 from routegraph.session import ensure_checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,11 +53,78 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Owner of the tables written inside a ``with`` block.
+
+    If the block fails, they are deleted. If it ends, those that ``only`` did not name are
+    deleted, if it was called; the others belong to the block around it, or go when the
+    application ends.
+    """
+
+    _open = threading.local()
+
+    def __init__(self) -> None:
+        self.tables: dict[str, SparkSession] = {}
+        self.named: set[str] | None = None
+
+    @classmethod
+    def stack(cls) -> list["Scratch"]:
+        if not hasattr(cls._open, "stack"):
+            cls._open.stack = []
+        return cls._open.stack
+
+    def __enter__(self) -> "Scratch":
+        self.stack().append(self)
+        return self
+
+    def only(self, *tables: DataFrame) -> None:
+        """Nothing but these tables is read after the block."""
+        self.named = {t.scratch_path for t in tables}
+
+    def __exit__(self, kind, *_) -> None:
+        self.stack().pop()
+        around = self.stack()[-1] if self.stack() else None
+        for path, spark in self.tables.items():
+            if kind is not None or self.named is not None and path not in self.named:
+                remove(spark, path)
+            elif around is not None:
+                around.tables[path] = spark
+            else:
+                remove(spark, path, at_exit=True)
+
+
+def owner(operator):
+    """The operator as a ``Scratch`` block of its own."""
+
+    @wraps(operator)
+    def run(*args, **kwargs):
+        with Scratch():
+            return operator(*args, **kwargs)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage."""
-    path = table_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = table_path(spark, name)
+    stack = Scratch.stack()
+    if stack:
+        stack[-1].tables[path] = spark
+    else:
+        remove(spark, path, at_exit=True)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
+        for scope in Scratch.stack():
+            scope.tables.pop(t.scratch_path, None)
 
 
 def bits_for(rows: int, per_cell: int, least: int) -> int:

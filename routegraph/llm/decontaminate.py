@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import alnum_words, ascii_lower, let, text_or_empty, written
+from routegraph.llm.common import alnum_words, ascii_lower, discard, let, owner, text_or_empty, written
 
 SPAN = 13
 GRAM = 5
@@ -79,6 +79,7 @@ def item_windows(items: DataFrame, span: int, key: str, text: str) -> DataFrame:
     )
 
 
+@owner
 def contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text", span: int = SPAN, k: int = GRAM,
@@ -127,6 +128,7 @@ def contamination(
         exploded.join(known, ["n", "print"]).groupBy("_key", "_hash").agg(F.collect_set(F.struct("n", "print")).alias("_hit")),
         "text-hits",
     )
+    discard(index)
     n_hit = hit.agg(F.sum(F.size("_hit")).alias("n")).first()["n"] or 0
     close = named.join(
         _small(hit, n_hit).select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "_hit"),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import written
+from routegraph.llm.common import discard, owner, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 CHUNK = 1 << 16
@@ -116,6 +116,7 @@ def chunks(docs: DataFrame, text: str, moduli=MODULI, size: int = CHUNK) -> Data
     )
 
 
+@owner
 def exact_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", moduli=MODULI, size: int = CHUNK
 ) -> DataFrame:
@@ -148,9 +149,12 @@ def exact_copies(
     if not collided.isEmpty():
         told = F.when(F.col("_hit"), F.col("_sha")).otherwise(F.lit(b"")).alias("_told")
         marked = rows.join(collided.withColumn("_hit", F.lit(True)), print_of, "left")
+        before = rows, groups
         rows = written(marked.select("*", told).drop("_hit"), "dedup-told")
         group = [*print_of, "_told"]
         groups = grouped(group)
+        discard(*before)
+    discard(collided)
     return rows.join(groups, group).select(
         F.col("_key").alias(key),
         "keep_id",

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import written
+from routegraph.llm.common import Scratch, written
 
 ORDER = 4
 SAMPLE = 1000
@@ -263,21 +263,23 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 def fit_models(train: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE) -> KneserNey | None:
     """Models and rejection limits from rows with non-null text and language."""
-    rows = _slices(train, key, text, lang, sample)
-    # at most one row per n-gram of the bounded sample reaches the driver
-    counts = count_grams(rows.filter("fit").select("lang", "text")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
-    names = np.array(counts.column("lang").to_pylist(), object)
-    grams, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy()
-    per_language = []
-    fitted = sorted(set(names))  # a label without a letter in its rows has no model
-    for name in fitted:
-        own, order = names == name, np.argsort(grams[names == name])
-        per_language.append((grams[own][order], n[own][order]))
-    if not fitted:
-        return None
-    model = KneserNey(fitted, per_language)
-    model.limits = calibrated(rows.filter("check").select("lang", "text"), model)
-    return model
+    with Scratch() as scope:
+        scope.only()  # the model is in memory
+        rows = _slices(train, key, text, lang, sample)
+        # at most one row per n-gram of the bounded sample reaches the driver
+        counts = count_grams(rows.filter("fit").select("lang", "text")).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
+        names = np.array(counts.column("lang").to_pylist(), object)
+        grams, n = counts.column("gram").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+        per_language = []
+        fitted = sorted(set(names))  # a label without a letter in its rows has no model
+        for name in fitted:
+            own, order = names == name, np.argsort(grams[names == name])
+            per_language.append((grams[own][order], n[own][order]))
+        if not fitted:
+            return None
+        model = KneserNey(fitted, per_language)
+        model.limits = calibrated(rows.filter("check").select("lang", "text"), model)
+        return model
 
 
 def calibrated(rows: DataFrame, model: KneserNey) -> np.ndarray:

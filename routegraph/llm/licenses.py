@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import alnum_words, ascii_lower, let, text_or_empty, written
+from routegraph.llm.common import alnum_words, ascii_lower, let, owner, text_or_empty, written
 
 #: The base phrases of the query's contract, as (label, key phrase).
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
@@ -224,6 +224,7 @@ def body_shares(label: tuple[str, str, str], words_of: list[str], idf: dict[str,
     return F.when(F.array_contains(present, number[phrase.split()[0]]), shares).otherwise(F.array().cast("array<double>"))
 
 
+@owner
 def find_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, bodies=BODIES, share: float = SHARE
 ) -> DataFrame:

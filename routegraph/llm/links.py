@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import written
+from routegraph.llm.common import Scratch, discard, written
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,28 +47,40 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(scan, "a long, b long")
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links after the step, the table of minima they read)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "star-least")
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = written(links.groupBy("a").agg(F.min("b").alias("m")), "star-least")
     moved = links.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), least
 
 
 def stars(links: DataFrame) -> DataFrame:
     """(a, b): every node that is not its component's smallest, with that smallest node."""
     state = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("h")).alias("s")
-    now = written(contracted(links.filter("a != b")).distinct(), "stars")
-    mark = now.select(state).first()["s"]
-    while mark["n"]:
-        large = written(_large_star(now), "stars")
-        new = written(_small_star(large), "stars")
-        fresh = new.select(state).first()["s"]
-        if fresh == mark:
-            break
-        now, mark = new, fresh
+
+    def step(star, of: DataFrame) -> DataFrame:
+        out, least = star(of)
+        out = written(out, "stars")
+        discard(least)
+        return out
+
+    with Scratch() as scope:
+        now = written(contracted(links.filter("a != b")).distinct(), "stars")
+        mark = now.select(state).first()["s"]
+        while mark["n"]:
+            large = step(_large_star, now)
+            new = step(_small_star, large)
+            discard(large)
+            fresh = new.select(state).first()["s"]
+            if fresh == mark:
+                break
+            discard(now)
+            now, mark = new, fresh
+        scope.only(now)
     return now

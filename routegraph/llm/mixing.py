@@ -23,15 +23,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import SPACE_WORD, bits_for, text_or_empty, written
+from routegraph.llm.common import SPACE_WORD, bits_for, discard, owner, text_or_empty, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Relative weight at the start, middle and end of training, cycling like WEIGHTS.
 SCHEDULES = ((1.25, 1.0, 0.75), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 
 
-def ranked(sizes: DataFrame) -> DataFrame:
-    """``sizes`` with the rank of each source by code point, null last, from 0 (a written table).
+def ranked(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``sizes`` with the rank of each source by code point, null last, from 0; the written
+    table that it reads).
 
     Sources are range-partitioned by name, so a rank is the number of sources in earlier
     ranges, one number per partition, plus the place in the own one.
@@ -43,7 +44,7 @@ def ranked(sizes: DataFrame) -> DataFrame:
     # a row for each partition of the session, whatever the number of sources
     offsets = F.broadcast(sizes.sparkSession.createDataFrame(earlier, "_part int, _earlier long"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last()))
-    return ranged.withColumn("rank", place - 1).join(offsets, "_part").withColumn("rank", F.col("rank") + F.col("_earlier"))
+    return ranged.withColumn("rank", place - 1).join(offsets, "_part").withColumn("rank", F.col("rank") + F.col("_earlier")), ranged
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, repeats: float) -> DataFrame:
@@ -54,14 +55,16 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, repeats: f
     level of the others is raised, until no more become full. Each step sums over the table of
     sources; the demand is concave in the level, so the steps are few.
     """
+    named, ranged = ranked(sizes)
     s = written(
-        ranked(sizes)
+        named
         .withColumn("_w", F.element_at(F.lit(list(weights)), (F.col("rank") % len(weights) + 1).cast("int")))
         .withColumn("_cap", F.col("source_size") * repeats)
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
         .select("_src", "source", "source_size", "rank", "_w", "_cap", "_ratio"),
         "mix-ranked",
     )
+    discard(ranged)
     whole = s.agg(F.sum("source_size"), F.sum("_w")).first()
     level, full = None, 0
     if whole[1]:
@@ -97,6 +100,7 @@ def invert_demand(u: Column, rank: Column, schedules: Sequence[Sequence[float]])
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
+@owner
 def place(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2,
     schedules: Sequence[Sequence[float]] = SCHEDULES, key: str = "doc_id", bucket_rows: int = 20_000,

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import text_or_empty, written
+from routegraph.llm.common import Scratch, text_or_empty, written
 from routegraph.llm.links import roots, stars
 from routegraph.llm.packed import (
     bucket_of, buckets_for, doc_chunks, grouped, mix, pack, rows_of, split, text_bytes, unpack, word_hashes,
@@ -352,37 +352,39 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tile
     ``text_hash`` is xxhash64 of the text; ``stays`` marks the row of the smallest key (and
     text hash) of every component, and all rows without grams.
     """
-    n_buckets = buckets_for(docs, text_bytes(docs, text), BUCKET_BYTES)
-    body = docs.select(
-        F.col(key).cast("long").alias("_key"), F.xxhash64(text_or_empty(text)).alias("_hash"), F.col(text).alias("_text")
-    )
-    rows = written(class_rows(body), "join-rows")
-    first = F.struct(F.col("key").isNull().alias("null"), "key", "hash")
-    classes = written(
-        rows.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("low")), "join-classes"
-    )
-    candidates = written(shared_counts(gram_blobs(body, n_buckets, sample)), "join-candidates")
-    wanted = classes.join(candidates, "cls", "left_semi").select(F.col("low.key").alias("_low")).distinct()
-    closer = body.join(wanted, F.col("_key").eqNullSafe(F.col("_low")), "left_semi")
-    kept = written(candidate_grams(gram_blobs(closer, n_buckets, 1.0), n_buckets), "join-grams")
-    groups = stars(chains(kept.filter("bucket >= 0")))
-
-    named = groups.select(F.col("a").alias("cls"), F.col("b").alias("grp"))
-    named = written(named.unionByName(groups.select(F.col("b").alias("cls"), F.col("b").alias("grp")).distinct()), "join-named")
-    members = (
-        kept.filter("bucket = -1").dropDuplicates(["cls"]).select("cls", "n", "data")
-        .join(named, "cls").join(classes.select("cls", "copies"), "cls")
-    )
-    found = written(linked_classes(tile_pairs(written(members, "join-members"), tile)), "join-found")
-    tops = stars(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    node = (
-        classes.join(tops.select(F.col("a").alias("cls"), F.col("b").alias("_top")), "cls", "left")
-        .join(found.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left")
-        .withColumn("_top", F.coalesce("_top", "cls"))
-    )
-    node = written(node, "join-nodes")
-    lows = written(node.groupBy("_top").agg(F.min("low").alias("component")), "join-lows")
-    named_node = written(node.join(lows, "_top").select("cls", "component", "copies", "links"), "join-nodes")
+    with Scratch() as scope:
+        n_buckets = buckets_for(docs, text_bytes(docs, text), BUCKET_BYTES)
+        body = docs.select(
+            F.col(key).cast("long").alias("_key"), F.xxhash64(text_or_empty(text)).alias("_hash"), F.col(text).alias("_text")
+        )
+        rows = written(class_rows(body), "join-rows")
+        first = F.struct(F.col("key").isNull().alias("null"), "key", "hash")
+        classes = written(
+            rows.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("low")), "join-classes"
+        )
+        candidates = written(shared_counts(gram_blobs(body, n_buckets, sample)), "join-candidates")
+        wanted = classes.join(candidates, "cls", "left_semi").select(F.col("low.key").alias("_low")).distinct()
+        closer = body.join(wanted, F.col("_key").eqNullSafe(F.col("_low")), "left_semi")
+        kept = written(candidate_grams(gram_blobs(closer, n_buckets, 1.0), n_buckets), "join-grams")
+        groups = stars(chains(kept.filter("bucket >= 0")))
+
+        named = groups.select(F.col("a").alias("cls"), F.col("b").alias("grp"))
+        named = written(named.unionByName(groups.select(F.col("b").alias("cls"), F.col("b").alias("grp")).distinct()), "join-named")
+        members = (
+            kept.filter("bucket = -1").dropDuplicates(["cls"]).select("cls", "n", "data")
+            .join(named, "cls").join(classes.select("cls", "copies"), "cls")
+        )
+        found = written(linked_classes(tile_pairs(written(members, "join-members"), tile)), "join-found")
+        tops = stars(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+        node = (
+            classes.join(tops.select(F.col("a").alias("cls"), F.col("b").alias("_top")), "cls", "left")
+            .join(found.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left")
+            .withColumn("_top", F.coalesce("_top", "cls"))
+        )
+        node = written(node, "join-nodes")
+        lows = written(node.groupBy("_top").agg(F.min("low").alias("component")), "join-lows")
+        named_node = written(node.join(lows, "_top").select("cls", "component", "copies", "links"), "join-nodes")
+        scope.only(rows, named_node)
     return rows.join(named_node, "cls", "left").select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),

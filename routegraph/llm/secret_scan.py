@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import let, text_or_empty, written
+from routegraph.llm.common import let, owner, text_or_empty, written
 
 #: Fixed patterns of the base kinds, in the order of the contract: (kind, pattern, group of
 #: the secret, least length of that group).
@@ -143,6 +143,7 @@ def joined(spans: Column, *more: str) -> Column:
     )
 
 
+@owner
 def scan_secrets(
     docs: DataFrame, repo: str = "doc_id", owner: str = "source", text: str = "text",
     live_owners: int = 2, live_repos: int = 4,

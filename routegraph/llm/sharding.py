@@ -23,7 +23,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import bits_for, written
+from routegraph.llm.common import bits_for, owner, written
 
 
 def ring_points(shards: int, vnodes: int) -> tuple[int, list[tuple[int, int]]]:
@@ -73,6 +73,7 @@ def fill_ring(owners: list[int], counts: list[int], caps: list[int]) -> list[tup
     return out
 
 
+@owner
 def shard_rows(
     docs: DataFrame, shards: int = 8, vnodes: int = 64, slack: float = 0.0,
     key: str = "doc_id", text: str = "text", cell_rows: int = 20_000,

@@ -84,7 +84,7 @@ def conversations(rng: random.Random) -> list[dict]:
 
 
 #: Extra columns with the names that operators give or use inside.
-CLASHING = ["_key", "_text", "_hash", "size", "n", "chunk", "bucket", "score", "hit", "items", "_row", "label", "shard"]
+CLASHING = ["_key", "_text", "_hash", "size", "n", "chunk", "bucket", "score", "hit", "items", "_row", "label", "shard", "_stage_key", "_stage_position", "_stage_hash_"]
 
 
 #: The same for the operators on pages and conversations.
