@@ -2,8 +2,9 @@
 
 The fingerprint of a text is a polynomial in its bytes modulo two primes, with its length.
 Chunks are hashed on their own and combined: hash(xy) = hash(x) * base^len(y) + hash(y),
-so a huge document is hashed chunk by chunk in bounded memory. Texts with equal
-fingerprints are then compared chunk by chunk: for every fingerprint and chunk number the
+so a huge document is hashed in parallel: a text of more than ``PIECE`` characters is cut into
+rows of that size, which tasks hash on their own, and their hashes are combined in order.
+Texts with equal fingerprints are then compared chunk by chunk: for every fingerprint and chunk number the
 smallest and the largest chunk are aggregated (partial results before the shuffle, so a
 group of copies never meets in one task) and must be the same. Where they differ, the
 fingerprint collided and its texts are told apart by their SHA-256.
@@ -27,6 +28,8 @@ from routegraph.llm.common import discard, owner, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 CHUNK = 1 << 16
+#: Characters from which on a text is cut into rows.
+PIECE = 1 << 22
 #: Two primes under 2^31 and a base for each: products of a power and a byte, summed over
 #: a chunk, stay under 2^64.
 MODULI = ((2147483647, 911382323), (2147483629, 972663749))
@@ -69,32 +72,69 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [(x or b"").translate(None, SPACES) for x in column.to_pylist()]
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, moduli=MODULI, size: int = CHUNK) -> DataFrame:
-    """(_key, _chars, _len, _h1, _h2, _sha) for every row."""
+def _hashed(texts: DataFrame, moduli, size: int) -> DataFrame:
+    """The columns of ``texts`` but the last, its text, with _len, _h1, _h2 and _sha."""
+    *keep, body = texts.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch, "_text")
-            prints = [fingerprint(t, moduli, size) for t in texts]
+            cleaned = _texts(batch, body)
+            prints = [fingerprint(t, moduli, size) for t in cleaned]
+            numbers = [[len(t) for t in cleaned], [p[0] for p in prints], [p[1] for p in prints]]
+            shas = pa.array([hashlib.sha256(t).digest() for t in cleaned], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()),
-                    pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
-                ],
-                names=["_key", "_chars", "_len", "_h1", "_h2", "_sha"],
+                [*batch.columns[:-1], *[pa.array(n, pa.int64()) for n in numbers], shas], names=[*keep, "_len", "_h1", "_h2", "_sha"]
             )
 
-    narrow = docs.select(
-        F.col(key).alias("_key"),
-        F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_chars"),
-        F.col(text).alias("_text"),
+    old = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
+    return texts.mapInArrow(scan, f"{old}, _len long, _h1 long, _h2 long, _sha binary")
+
+
+def pieces(docs: DataFrame, text: str, moduli=MODULI, size: int = CHUNK, piece: int = PIECE) -> DataFrame:
+    """(_id, _len, _h1, _h2): the fingerprint of every different text of more than ``piece`` characters.
+
+    Texts go by their SHA-256 here; texts that have the same are cut once.
+    """
+    long = docs.filter(F.length(text) > piece).select(F.sha2(F.col(text).cast("binary"), 256).alias("_id"), F.col(text).alias("_text"))
+    last = F.floor((F.length("_text") - 1) / piece).cast("int")
+    cut = long.select("_id", "_text", F.explode(F.sequence(F.lit(0), last)).alias("_no")).select(
+        "_id", "_no", F.substring("_text", F.col("_no") * piece + 1, F.lit(piece)).alias("_piece")
+    )
+    hashed = _hashed(cut.dropDuplicates(["_id", "_no"]), moduli, size)
+    # a text has no more pieces than 2^31 bytes give: a few hundred numbers
+    parts = hashed.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_no", "_len", "_h1", "_h2"))).alias("_parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out, total = (0,) * len(moduli), 0
+                for p in found:
+                    out = combine(out, (p["_h1"], p["_h2"]), p["_len"], moduli)
+                    total += p["_len"]
+                rows.append((name, total, *out))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_id", "_len", "_h1", "_h2"])
+
+    return parts.mapInArrow(join, "_id string, _len long, _h1 long, _h2 long")
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, moduli=MODULI, size: int = CHUNK, piece: int = PIECE) -> DataFrame:
+    """(_key, _chars, _len, _h1, _h2, _sha) for every row; _sha is the SHA-256 of the text without spaces."""
+    chars = F.coalesce(F.length(text), F.lit(0)).cast("long").alias("_chars")
+    short = docs.filter(F.coalesce(F.length(text), F.lit(0)) <= piece)
+    out = _hashed(short.select(F.col(key).alias("_key"), chars, F.col(text).alias("_text")), moduli, size)
+    found = written(pieces(docs, text, moduli, size, piece), "dedup-long")
+    if found.isEmpty():
+        discard(found)
+        return out
+    clean = F.translate(F.col(text), SPACES.decode(), "")
+    long = docs.filter(F.length(text) > piece).select(
+        F.col(key).alias("_key"), chars, F.unhex(F.sha2(clean.cast("binary"), 256)).alias("_sha"),
+        F.sha2(F.col(text).cast("binary"), 256).alias("_id"),
     )
-    kind = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(scan, f"_key {kind}, _chars long, _len long, _h1 long, _h2 long, _sha binary")
+    return out.unionByName(long.join(found, "_id").drop("_id"))
 
 
 def chunks(docs: DataFrame, text: str, moduli=MODULI, size: int = CHUNK) -> DataFrame:
@@ -118,12 +158,12 @@ def chunks(docs: DataFrame, text: str, moduli=MODULI, size: int = CHUNK) -> Data
 
 @owner
 def exact_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", moduli=MODULI, size: int = CHUNK
+    docs: DataFrame, key: str = "doc_id", text: str = "text", moduli=MODULI, size: int = CHUNK, piece: int = PIECE
 ) -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
     print_of = ["_len", "_h1", "_h2"]
     rows = written(
-        fingerprints(docs, key, text, moduli, size).withColumn("_row", F.monotonically_increasing_id()),
+        fingerprints(docs, key, text, moduli, size, piece).withColumn("_row", F.monotonically_increasing_id()),
         "dedup-rows",
     )
     first = F.min(F.struct(-F.col("_chars"), F.col("_key").isNull(), F.col("_key"), F.col("_row")))
