@@ -187,10 +187,12 @@ def anchors(texts: DataFrame, n_buckets: int, frequent: int) -> DataFrame:
         own = table.column("_chunk")[0].as_py()
         keys, t = _texts(table)
         c = Cells(t)
+        if not len(c.anchor):  # no text of the chunk is as long as a string
+            return
         a, key = c.anchor >> np.uint64(16), keys[c.text]
         order = np.lexsort((key, a))
         a, key = a[order], key[order]
-        head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else order
+        head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         tail = np.append(head[1:], len(a)) - 1
         several = key[head] != key[tail]
         a = a[head]
