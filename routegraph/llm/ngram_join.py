@@ -12,6 +12,12 @@ Tiles need not cover every pair of classes. Two sets with Jaccard similarity of
   ``n - ceil(3n/4) + 1`` rarest grams. Chains through classes that share such a gram, in
   the order of their sizes, connect all linked classes; the connected groups are small.
 
+Any order of the grams will do for that, if it is the same for all classes. So grams that many
+documents of a sample have, in more than one class, are not counted at all: they come last, in
+the order of their hashes, and stay with their chunk of documents. A chunk also chains its own
+classes and sends on only the ends of the chains, so a passage in any share of the documents
+gives a bucket a few entries per chunk.
+
 Each group is cut into bands by set size (a band spans a factor of 4/3, so links stay in a
 band or reach the next one) and bands into tiles of about ``TILE`` classes. For a pair of
 tiles, bitmap signatures bound every overlap from above: each bit in which two signatures
@@ -48,6 +54,9 @@ SAMPLE = 0.4
 SIGNATURE_WORDS = 8
 #: Text that a task handles at once, and text behind one bucket of grams.
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Documents of the sample (one in SAMPLE_OF) that have a gram which is not counted, as a share of
+#: them and at least. There are no more such grams than a document has on average, times 1 / share.
+SAMPLE_OF, HOT_SHARE, HOT_LEAST = 64, 1 / 4096, 8
 #: Groups of more than a tile, a few hundred bytes each, that a broadcast may hold.
 BROADCAST_ROWS = 100_000
 
@@ -101,8 +110,30 @@ def class_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "key long, hash long, n long, cls long")
 
 
-def gram_blobs(docs: DataFrame, n_buckets: int, share: float) -> DataFrame:
-    """Each chunk's classes, and per bucket their grams with hashes in the lowest ``share``."""
+def common_grams(docs: DataFrame, rows: int) -> np.ndarray:
+    """Sorted grams of more than one class that many documents of a sample of ``docs`` have.
+
+    They decide only the order of grams and where entries go.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in doc_chunks(batches, CHUNK_BYTES):
+            flat, n, cls = gram_sets(texts)
+            owner = np.repeat(cls, n)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(owner.view(np.int64))], names=["gram", "cls"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("_key", "_hash"), F.lit(SAMPLE_OF)) == 0).select("_text")
+    counts = sample.mapInArrow(scan, "gram long, cls long").groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")
+    )
+    least = max(HOT_LEAST, int(HOT_SHARE * rows / SAMPLE_OF))
+    hot = counts.filter((F.col("n") >= least) & (F.col("low") != F.col("high"))).select("gram").toArrow()
+    return np.unique(hot.column(0).to_numpy().view(np.uint64))
+
+
+def gram_blobs(docs: DataFrame, n_buckets: int, share: float, hot: np.ndarray) -> DataFrame:
+    """Each chunk's classes with their ``hot`` grams, and per bucket their other grams; of all, the
+    grams with hashes in the lowest ``share``."""
     limit = np.uint64(min(int(share * 2**64), 2**64 - 1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +147,11 @@ def gram_blobs(docs: DataFrame, n_buckets: int, share: float) -> DataFrame:
             number = np.cumsum(once) - 1
             flat, owner = flat[keep], number[owner[keep]].astype(np.uint16)
             looked = np.bincount(owner, minlength=int(once.sum()))
-            rows = [(chunk % n_buckets, chunk, True, pack(cls=cls[once], n=n[once], looked=looked))]
+            at = np.minimum(np.searchsorted(hot, flat), max(len(hot) - 1, 0))
+            often = hot[at] == flat if len(hot) else np.zeros(len(flat), bool)
+            about = pack(cls=cls[once], n=n[once], looked=looked, hot=flat[often], hot_doc=owner[often])
+            flat, owner = flat[~often], owner[~often]
+            rows = [(chunk % n_buckets, chunk, True, about)]
             for b, (grams, doc) in split(bucket_of(flat, n_buckets), n_buckets, flat, owner):
                 order = np.argsort(grams)
                 grams, doc = grams[order], doc[order]
@@ -174,7 +209,7 @@ def shared_counts(blobs: DataFrame) -> DataFrame:
                 about = unpack(data)
             else:
                 parts.append(unpack(data))
-        shared = np.zeros(len(about["cls"]), np.int64)
+        shared = np.bincount(about["hot_doc"], minlength=len(about["cls"]))
         for p in parts:
             np.add.at(shared, p["doc"], p["n"])
         ok = shared >= _sampled(about["n"], about["looked"])
@@ -189,8 +224,8 @@ KEPT = pa.schema([("bucket", pa.int32()), ("cls", pa.int64()), ("n", pa.int64())
 
 
 def candidate_grams(blobs: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, cls, n, data): with bucket -1 a class and its sorted shared grams, else the
-    rare grams of a chunk's classes for that bucket."""
+    """(bucket, cls, n, data): with bucket -1 a class and its sorted shared grams, with -2 links
+    between classes of a chunk, else the chunk's chains by rare gram for that bucket."""
 
     def tell(table: pa.Table) -> Iterator[tuple]:
         chunks, parts = [], []
@@ -217,9 +252,11 @@ def candidate_grams(blobs: DataFrame, n_buckets: int) -> DataFrame:
                 about = unpack(data)
             else:
                 parts.append(unpack(data))
-        if not parts:
-            return
+        last = np.full(len(about["hot"]), 2**32 - 1, np.uint32)
+        parts.append({"gram": about["hot"], "doc": about["hot_doc"], "df": last})
         gram, doc, df = (np.concatenate([p[k] for p in parts]) for k in ("gram", "doc", "df"))
+        if not len(gram):
+            return
         n, cls = about["n"], about["cls"]
         shared = np.bincount(doc, minlength=len(n))
         wanted = shared - (n - n // 4) + 1  # rarest grams to take, those that only one class has aside
@@ -232,26 +269,57 @@ def candidate_grams(blobs: DataFrame, n_buckets: int) -> DataFrame:
             yield -1, int(cls[d].view(np.int64)), int(n[d]), pack(grams=own)
         rare = rank < wanted[doc]
         gram, doc = gram[rare], doc[rare]
-        for b, (g, d) in split(bucket_of(gram, n_buckets), n_buckets, gram, doc):
-            yield b, 0, 0, pack(gram=g, cls=cls[d], n=n[d])
+        if not len(gram):
+            return
+        order = np.lexsort((cls[doc], n[doc], gram))
+        gram, doc = gram[order], doc[order]
+        size, own = n[doc], cls[doc]
+        near = (gram[1:] == gram[:-1]) & (4 * size[:-1] >= 3 * size[1:])
+        if near.any():
+            pairs = np.unique(np.stack([own[1:][near], own[:-1][near]], 1), axis=0)
+            yield -2, 0, 0, pack(a=pairs[:, 0], b=pairs[:, 1])
+        head = np.flatnonzero(np.concatenate([[True], ~near]))
+        tail = np.append(head[1:], len(gram)) - 1
+        chained = gram[head], own[head], size[head], size[tail]
+        for b, (g, c, low, high) in split(bucket_of(gram[head], n_buckets), n_buckets, *chained):
+            yield b, 0, 0, pack(gram=g, cls=c, low=low, high=high)
 
     told = grouped(blobs, "bucket", tell, SHARED, "chunk long, about boolean, data binary")
     return grouped(told, "chunk", choose, KEPT, "bucket int, cls long, n long, data binary")
 
 
-def chains(rare: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that are neighbours by size among those with a rare gram."""
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def chains(kept: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that are neighbours by size among those with a rare gram.
+
+    Links inside a chunk come as they are. A chunk's chain spans a range of sizes; chains of a
+    gram are linked, in the order of their smallest sizes, where the next begins no more than
+    4/3 beyond what the ones before have reached: as all their classes would be.
+    """
 
     def chain(table: pa.Table) -> Iterator[tuple]:
         parts = [unpack(d) for d in table.column("data").to_pylist()]
-        gram, cls, n = (np.concatenate([p[k] for p in parts]) for k in ("gram", "cls", "n"))
-        order = np.lexsort((cls, n, gram))
-        gram, cls, n = gram[order], cls[order].view(np.int64), n[order]
-        near = (gram[1:] == gram[:-1]) & (cls[1:] != cls[:-1]) & (4 * n[:-1] >= 3 * n[1:])
-        pairs = np.unique(np.stack([cls[1:][near], cls[:-1][near]], 1), axis=0)
-        yield from pairs.tolist()
-
-    return grouped(rare, "bucket", chain, pa.schema([("a", pa.int64()), ("b", pa.int64())]), "a long, b long")
+        gram, cls, low, high = (np.concatenate([p[k] for p in parts]) for k in ("gram", "cls", "low", "high"))
+        order = np.lexsort((cls, low, gram))
+        gram, cls, low, high = gram[order], cls[order].view(np.int64), low[order], high[order]
+        number = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]]))
+        # the furthest size so far in each gram: later grams start beyond all earlier ones
+        _, rank = np.unique(np.concatenate([low, high]), return_inverse=True)
+        sizes = np.unique(np.concatenate([low, high]))
+        reach = np.maximum.accumulate(number * len(sizes) + rank[len(low) :]) - number * len(sizes)
+        near = (gram[1:] == gram[:-1]) & (cls[1:] != cls[:-1]) & (4 * sizes[reach[:-1].clip(0)] >= 3 * low[1:])
+        yield from np.unique(np.stack([cls[1:][near], cls[:-1][near]], 1), axis=0).tolist()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                x = unpack(data)
+                yield pa.RecordBatch.from_arrays([pa.array(x[k].view(np.int64)) for k in "ab"], schema=LINKS)
+
+    own = kept.filter("bucket = -2").select("data").mapInArrow(unpacked, "a long, b long")
+    return grouped(kept.filter("bucket >= 0"), "bucket", chain, LINKS, "a long, b long").unionByName(own)
 
 
 def tile_pairs(members: DataFrame, tile: int) -> DataFrame:
@@ -362,11 +430,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", tile
         classes = written(
             rows.filter("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("low")), "join-classes"
         )
-        candidates = written(shared_counts(gram_blobs(body, n_buckets, sample)), "join-candidates")
+        hot = common_grams(body, rows.count())
+        candidates = written(shared_counts(gram_blobs(body, n_buckets, sample, hot)), "join-candidates")
         wanted = classes.join(candidates, "cls", "left_semi").select(F.col("low.key").alias("_low")).distinct()
         closer = body.join(wanted, F.col("_key").eqNullSafe(F.col("_low")), "left_semi")
-        kept = written(candidate_grams(gram_blobs(closer, n_buckets, 1.0), n_buckets), "join-grams")
-        groups = stars(chains(kept.filter("bucket >= 0")))
+        kept = written(candidate_grams(gram_blobs(closer, n_buckets, 1.0, hot), n_buckets), "join-grams")
+        groups = stars(chains(kept))
 
         named = groups.select(F.col("a").alias("cls"), F.col("b").alias("grp"))
         named = written(named.unionByName(groups.select(F.col("b").alias("cls"), F.col("b").alias("grp")).distinct()), "join-named")
