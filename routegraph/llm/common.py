@@ -127,6 +127,28 @@ def discard(*tables: DataFrame) -> None:
             scope.tables.pop(t.scratch_path, None)
 
 
+def crc32_sql(text: str, entries: str = "entries") -> str:
+    """DuckDB text: the unsigned CRC-32 of the UTF-8 bytes of ``text``, which must not be empty;
+    ``entries`` names a column with ``CRC32_ENTRIES``."""
+    pairs = f"string_split(regexp_replace(hex(encode({text})), '(..)', '\\1 ', 'g'), ' ')"
+    code = f"list_transform(list_filter({pairs}, lambda x: x <> ''), lambda x: ('0x' || x)::BIGINT)"
+    ones = "4294967295::BIGINT"
+    return f"xor(list_reduce({code}, lambda c, b: xor(c >> 8, {entries}[(xor(c, b) & 255) + 1]), {ones}), {ones})"
+
+
+def _crc32_entries() -> str:
+    """The table of the check sum, from its polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return "[" + ",".join(map(str, out)) + "]::BIGINT[]"
+
+
+CRC32_ENTRIES = _crc32_entries()
+
+
 def bits_for(rows: int, per_cell: int, least: int) -> int:
     """Bits of a hash prefix that cuts ``rows`` rows into cells of about ``per_cell`` rows."""
     return max(least, (max(rows, 1) // per_cell).bit_length())

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routegraph.llm.common import CRC32_ENTRIES, crc32_sql
 from routegraph.llm.packed import rows_of
 from routegraph.operators.lineage import RoundTables, row_count
 
@@ -457,3 +458,86 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 def op11_conversation_repair(conversations: DataFrame) -> DataFrame:
     return repair(damaged(conversations), copies="_stands")
+
+
+def _fold() -> str:
+    """DuckDB text: one row ``x`` {t: initial, f: fault} put in front of ``acc``, which holds the
+    cheapest (cost, letters) from each state of the role automaton on."""
+
+    def cell(cost: str, letters: str, rest: str) -> str:
+        return f"{{'c': {rest}.c + {cost}, 'a': '{letters}' || {rest}.a}}"
+
+    def front(state: int, cost: int, letters: str) -> list[str]:
+        """Candidates for the row itself, after inserts of this cost and these letters."""
+        kept = " ".join(
+            f"WHEN x.f IN (0, 3) AND x.t = '{initial}' THEN " + cell(f"{cost} + (x.f = 3)::INT", letters + "K", f"acc.q{to}")
+            for initial, to in STEP[state].items()
+        )
+        far = f"{{'c': 1000000000, 'a': ''}}"
+        return [
+            cell(f"{cost + 3}", letters + "D", f"acc.q{state}"),
+            f"CASE {kept} ELSE {far} END",
+            f"CASE WHEN x.f IN (0, 3) THEN {cell(f'{cost + 2} + (x.f = 3)::INT', letters + 'R', f'acc.q{NEXT[state]}')} ELSE {far} END",
+        ]
+
+    def best_of(state: int) -> str:
+        one = NEXT[state]
+        return f"list_sort([{', '.join(front(state, 0, '') + front(one, 2, 'I') + front(NEXT[one], 4, 'II'))}])[1]"
+
+    return "{" + ", ".join(f"'q{q}': {best_of(q)}" for q in range(4)) + "}"
+
+
+_LAST = "{'q0': {'c': 0, 'a': ''}, 'q1': {'c': 4, 'a': 'II'}, 'q2': {'c': 2, 'a': 'I'}, 'q3': {'c': 0, 'a': ''}}"
+
+OP11_SQL = rf"""
+WITH crc AS (SELECT {CRC32_ENTRIES} AS entries),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), hashed AS (SELECT *, {crc32_sql("name")} % 20 AS h FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed
+), numbered AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i
+  FROM damaged
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM numbered
+), faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 0 ELSE 3 END AS f,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated,
+    count(*) FILTER (before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'t': left(role, 1), 'f': f}} ORDER BY i DESC) AS items
+  FROM faulty GROUP BY conv_id
+), solved AS (
+  SELECT * EXCLUDE (items), list_reduce(items, lambda acc, x: {_fold()}, {_LAST}).q0 AS best FROM sums
+), letters AS (
+  SELECT conv_id, k, best.a[k] AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS k FROM solved)
+), told AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER upto AS i, count(*) FILTER (letter <> 'D') OVER upto AS o
+  FROM letters WINDOW upto AS (PARTITION BY conv_id ORDER BY k)
+), lines AS (
+  SELECT t.conv_id, t.o, t.letter, r.role, r.text,
+    max((t.o = 1 AND t.letter = 'K' AND left(r.role, 1) = 's')::INT) OVER (PARTITION BY t.conv_id) AS led
+  FROM told t LEFT JOIN placed r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i AND t.letter <> 'I'
+  WHERE t.letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(
+    CASE WHEN letter = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''),
+    chr(10) ORDER BY o) AS body
+  FROM lines GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

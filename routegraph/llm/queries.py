@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from routegraph.llm.common import benchmark, documents
-from routegraph.llm.conversation_repair import op11_conversation_repair
+from routegraph.llm.conversation_repair import OP11_SQL, op11_conversation_repair
 from routegraph.llm.decontaminate import OP6_SQL, op6_decontaminate
 from routegraph.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from routegraph.llm.kn_scoring import op7_lm_scoring
@@ -43,6 +43,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_spelling": OP12_SQL,
     "op13_warc": OP13_SQL,
 }

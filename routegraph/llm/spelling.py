@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.llm.common import ascii_lower
+from routegraph.llm.common import CRC32_ENTRIES, ascii_lower, crc32_sql
 from routegraph.llm.packed import rows_of
 from routegraph.operators.lineage import RoundTables, row_count
 
@@ -279,31 +279,15 @@ def op12_spelling(docs: DataFrame) -> DataFrame:
     return variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-def _crc32_table() -> str:
-    """Entries of the check sum's table, from its polynomial."""
-    out = []
-    for x in range(256):
-        for _ in range(8):
-            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
-        out.append(x)
-    return "[" + ",".join(map(str, out)) + "]::BIGINT[]"
-
-
 OP12_SQL = rf"""
-WITH RECURSIVE crc AS (SELECT {_crc32_table()} AS entries),
+WITH RECURSIVE crc AS (SELECT {CRC32_ENTRIES} AS entries),
 runs AS (
   SELECT doc_id, unnest(regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
   FROM documents WHERE text IS NOT NULL
 ), kinds AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
-bytes AS (
-  SELECT *, list_transform(
-    list_filter(string_split(regexp_replace(hex(encode(concat(doc_id, ':', run))), '(..)', '\1 ', 'g'), ' '), lambda x: x <> ''),
-    lambda x: ('0x' || x)::BIGINT) AS code
-  FROM kinds
-), sums AS (
-  SELECT run, times, xor(list_reduce(code, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
-  FROM bytes, crc
+sums AS (
+  SELECT run, times, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM kinds, crc
 ), spoilt AS (
   SELECT CASE WHEN h % 199 = 0 THEN run[:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, times FROM sums
 ), words AS (

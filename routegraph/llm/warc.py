@@ -292,15 +292,16 @@ def op13_warc(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     return index.select(
         F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.col("refers_to").cast(kind).alias("refers_to"), "url_key", "captured",
+        F.col("refers_to").cast(kind).alias("refers_to"), "captured",
     )
 
 
-OP13_SQL = """
+OP13_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS size FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS kept FROM p)
 SELECT page_id, size AS payload_bytes, payload_digest,
   CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+  CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to,
+  strftime(make_timestamp((coalesce(page_id, 0) % 1000000000 + {EPOCH}) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
 FROM g
 """

@@ -35,7 +35,7 @@ def test_empty_tables(spark, empty, name):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle_sql(spark, corpus, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{corpus[0]}/{t}.parquet')")
     if name == "op8_exact_dedup":
         pytest.skip("rows that share a key are told apart here; see test_exact_dedup")
