@@ -22,6 +22,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from routegraph.operators import components, paths  # noqa: E402
+from routegraph.operators.edges import SaltedEdges  # noqa: E402
 from routegraph.operators.lineage import RoundTables, row_count  # noqa: E402
 from routegraph.plans.catalog import QUERIES  # noqa: E402
 from routegraph.plans.network import Network  # noqa: E402
@@ -65,14 +66,13 @@ def level_and_round(spark, sf_dir: str) -> None:
     net = Network.from_test_tables(spark, sf_dir)
     t = RoundTables(spark, "plans")
     pairs, m = t.write(net.graph().real_edges().select("src", "dst").distinct(), "pairs", row_count())
-    back = paths.BucketedTable(t, "back", ["dst"], m["n"], None, 2_000_000)
+    back = SaltedEdges(t, pairs, m["n"], "dst", "back")
     visited = paths.BucketedTable(t, "visited", ["id", "landmark"], m["n"], None, 2_000_000)
     try:
-        back.append(pairs)
         start = pairs.filter("dst = 5").selectExpr("src as id", "5L as landmark", "1 as hops")
         visited.append(start)
         front = visited.table().selectExpr("id as dst", "landmark")
-        print("\n## One level of the hop search\n\n```\n" + tree(paths.new_level(back, front, visited, 2)) + "\n```")
+        print("\n## One level of the hop search\n\n```\n" + tree(paths.new_level(back.met(front), visited, 2)) + "\n```")
         edges = pairs.filter("src != dst").selectExpr("greatest(src, dst) as x", "least(src, dst) as y").distinct()
         edges, _ = t.write(edges, "edges", row_count())
         least, _ = t.write(components.large_minima(edges), "least", row_count())
