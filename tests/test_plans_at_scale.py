@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from routegraph.operators import Edge, Graph, Not, connected_components, count_matches, find, hops_to
 from routegraph.operators import components as C
 from routegraph.operators import paths as P
+from routegraph.operators.edges import SaltedEdges
 from routegraph.operators.lineage import RoundTables
 
 
@@ -89,6 +90,28 @@ def test_hops_without_broadcast_and_with_hubs(spark, conf):
         assert got == want
 
 
+@pytest.mark.parametrize("hub_edges", [1_000_000, 20])
+def test_a_round_of_messages_does_not_shuffle_edges(spark, conf, hub_edges):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    t = RoundTables(spark, "test")
+    edges = spark.range(2000).select(F.col("id").alias("dst"), (F.col("id") % 40).alias("src"), F.lit(0.5).alias("share"))
+    edges, m = t.write(edges, "edges", [F.count(F.lit(1)).alias("n")])
+    ways = SaltedEdges(t, edges, m["n"], "src", hub_edges=hub_edges)
+    try:
+        assert ways.n_hubs == (40 if hub_edges == 20 else 0)
+        states = spark.range(40).select(F.col("id").alias("src"), F.lit(1.0).alias("rank"))
+        sent = ways.met(states).select(F.col("dst").alias("id"), (F.col("rank") * F.col("share")).alias("msg"))
+        text = plan(sent)
+        assert text.count("Bucketed: true") == 1
+        tree = text.split("\n\n\n")[0]
+        # the states and, for hubs, the join that tells their salts; the edges stay where they are
+        assert len(re.findall(r"[+:]- Exchange", tree)) == (3 if ways.n_hubs else 1), tree
+        assert sent.count() == 2000 and sent.agg(F.sum("msg")).first()[0] == 1000.0
+    finally:
+        ways.drop()
+        t.drop()
+
+
 def hub(spark, n):
     return spark.range(1, n).select(F.col("id").alias("x"), F.lit(0).cast("long").alias("y"))
 
