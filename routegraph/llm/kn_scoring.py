@@ -17,7 +17,7 @@ The count-of-counts that fix the discounts are one row of sums. Hashes have 64 b
 
 Defined results: a null text is an empty text with its end token; without training rows all
 words are unknown and all scores 0; repeated rows are scored each; an empty table gives no
-rows. One bucket holds an entry for every document with a given pair of words.
+rows; keys are integers. One bucket holds an entry for every document with a given pair of words.
 """
 
 from __future__ import annotations

@@ -28,7 +28,8 @@ counts and a spanning forest, not its pairs.
 Defined results: texts without words have an empty set, are linked with nothing and are
 their own component; texts with fewer than ``SHINGLE`` words have one gram, all their
 words; rows with equal texts are linked; a null key joins groups but never names one that
-has another key; an empty table gives no rows. Grams and classes go by 64-bit hashes.
+has another key; an empty table gives no rows. Keys are integers.
+Grams and classes go by 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-Each shard owns ``vnodes`` points of a hash ring. A row's key lies in the arc that ends at
-the next point clockwise and goes to that point's shard. A shard takes rows up to its
+Each shard owns ``vnodes`` points of a hash ring. A row's place on it is a hash of its key and of
+its text's checksum and size (so an edited text moves its row, and rows that share a key are
+spread); it lies in the arc that ends at the next point clockwise and goes to that point's shard. A shard takes rows up to its
 capacity; what overflows continues clockwise to the next points whose shards have room.
 With ``slack=0`` the capacities are the even share, so the row counts of any two shards
 differ by at most one; with slack, less moves and a shard holds up to (1 + slack) shares.
