@@ -5,7 +5,8 @@ holds the whole model:
 
 1. every document's (word before, word, document) entries go to the bucket of the word
    before; the pairs of a few very frequent words (their number is bounded by the buckets)
-   spread over all buckets by pair;
+   spread over all buckets by pair, and the entries of very frequent pairs by chunk of
+   documents: these pairs are counted before, and each counts in one bucket of its own;
 2. each bucket counts its training pairs and sends, for the words it has seen, its share of
    their counts and of their distinct left neighbours to the word's own bucket, which adds
    them up and answers;
@@ -17,7 +18,7 @@ The count-of-counts that fix the discounts are one row of sums. Hashes have 64 b
 
 Defined results: a null text is an empty text with its end token; without training rows all
 words are unknown and all scores 0; repeated rows are scored each; an empty table gives no
-rows; keys are integers. One bucket holds an entry for every document with a given pair of words.
+rows; keys are integers.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ TRAIN = np.uint16(1 << 15)
 #: Text behind one bucket of pairs: its arrays take some 30 times as much while it is scored.
 BUCKET_BYTES = 8 << 20
 
+#: One document in so many tells which words and pairs are frequent, and the least share of the
+#: tokens that makes a pair so: no more than a million pairs, 40 bytes each, go to the workers.
+SAMPLE_OF, LEAST_SHARE = 64, 1e-6
+
 ENTRY = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.bool_()), ("data", pa.binary())])
 ENTRY_DDL = "bucket int, chunk long, docs boolean, data binary"
 SUMS = ["n1", "n2", "n3", "n4", "t1", "t2", "t3", "t4", "types", "tokens", "kinds"]
@@ -69,7 +74,7 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(29))))
 
 
-def frequent_words(docs: DataFrame, share: float, text: str) -> np.ndarray:
+def frequent_words(docs: DataFrame, share: float, sample_of: int = SAMPLE_OF) -> np.ndarray:
     """Words that make up ``share`` of the tokens of about every 64th document, and START.
 
     They decide only where entries go. At most 1 / share words reach the driver.
@@ -80,14 +85,65 @@ def frequent_words(docs: DataFrame, share: float, text: str) -> np.ndarray:
             w, n = np.unique(tokens_of(texts)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("_key", "_text"), F.lit(64)) == 0).select("_text")
-    counts = sample.mapInArrow(scan, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = sampled(docs, sample_of).mapInArrow(scan, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     top = counts.filter(F.col("n") >= share * total).select("w").collect()
     return np.unique(np.array([START, END] + [np.int64(r["w"]).view(np.uint64) for r in top], np.uint64))
 
 
-def entries(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
+def sampled(docs: DataFrame, sample_of: int) -> DataFrame:
+    return docs.filter(F.pmod(F.xxhash64("_key", "_text"), F.lit(sample_of)) == 0).select("_text")
+
+
+class HotPairs:
+    """Pairs whose entries are spread over all buckets: sorted hashes, words, training counts."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray) -> None:
+        pair = pair_hash(v, w)
+        order = np.argsort(pair)
+        self.pair, self.v, self.w = pair[order], v[order], w[order]
+        self.count = np.zeros(len(pair), np.int64)
+
+    def has(self, pair: np.ndarray) -> np.ndarray:
+        return Shard.find(self.pair, pair)[1]
+
+
+def frequent_pairs(docs: DataFrame, share: float, sample_of: int = SAMPLE_OF) -> HotPairs:
+    """Pairs that make up ``share`` of the tokens of a sample, counted in all training rows.
+
+    No more than 1 / share pairs reach the driver. The words before them are as frequent, so
+    ``frequent_words`` of the same share has those, too.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in doc_chunks(batches, CHUNK_BYTES):
+            v, w, _ = tokens_of(texts)
+            _, at, n = np.unique(pair_hash(v, w), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n)], names=["v", "w", "n"]
+            )
+
+    counts = sampled(docs, sample_of).mapInArrow(scan, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    found = counts.filter(F.col("n") >= share * total).select("v", "w").toArrow()
+    hot = HotPairs(*(found.column(c).to_numpy().view(np.uint64) for c in "vw"))
+    if not len(hot.pair):
+        return hot
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, train), texts in doc_chunks(batches, CHUNK_BYTES):
+            v, w, doc = tokens_of(texts)
+            at, hit = Shard.find(hot.pair, pair_hash(v, w))
+            n = np.bincount(at[hit & np.asarray(train.to_pylist(), bool)[doc]], minlength=len(hot.pair))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["at", "n"])
+
+    for r in docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        hot.count[r["at"]] = r["n"]
+    return hot
+
+
+def entries(docs: DataFrame, n_buckets: int, hot: np.ndarray, pairs: HotPairs) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, (keys, train), texts in doc_chunks(batches, CHUNK_BYTES):
             v, w, doc = tokens_of(texts)
@@ -104,7 +160,10 @@ def entries(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
             n = np.diff(np.append(new, len(v)))
             v, w, doc = v[new], w[new], doc[new]
             at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
-            bucket = np.where(hot[at] == v, bucket_of(pair_hash(v, w), n_buckets), bucket_of(v, n_buckets))
+            pair = pair_hash(v, w)
+            spread = mix(pair + np.uint64(chunk) * np.uint64(0x9E3779B97F4A7C15))
+            pair = np.where(pairs.has(pair), spread, pair)
+            bucket = np.where(hot[at] == v, bucket_of(pair, n_buckets), bucket_of(v, n_buckets))
             for b, (bv, bw, bd, bn) in split(bucket, n_buckets, v, w, doc, n):
                 run = np.flatnonzero(np.concatenate([[True], bv[1:] != bv[:-1]]))
                 lens = np.diff(np.append(run, len(bv))).astype(np.uint32)
@@ -113,13 +172,23 @@ def entries(docs: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
                 rows.append((b, chunk, False, pack(v=bv[run], run=lens, w=bw, doc=marked, n=bn.astype(small))))
             yield rows_of(rows, ENTRY)
 
-    return docs.mapInArrow(scan, ENTRY_DDL)
+    scanned = docs.mapInArrow(scan, ENTRY_DDL)
+    if not len(pairs.pair):
+        return scanned
+    # the bucket in which a hot pair counts may have no entries: an empty one makes it be there
+    none = np.zeros(0, np.uint64)
+    empty = pack(v=none, run=none.astype(np.uint32), w=none, doc=none.astype(np.uint16), n=none.astype(np.uint8))
+    own = [(int(b), -1, False, empty) for b in np.unique(bucket_of(pairs.pair, n_buckets))]
+    return scanned.unionByName(docs.sparkSession.createDataFrame(own, ENTRY_DDL))
 
 
 class Bucket:
-    """The entries of one bucket side by side, and the counts of its training pairs."""
+    """The entries of one bucket side by side, and the counts of its training pairs.
+
+    Hot pairs are among these in their own bucket only, with their counts over all buckets.
+    """
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, n_buckets: int, hot: HotPairs) -> None:
         self.docs, self.chunks, parts = [], [], []
         for chunk, docs, data in zip(*(table.column(c).to_pylist() for c in ("chunk", "docs", "data")), strict=True):
             if docs:
@@ -138,9 +207,18 @@ class Bucket:
         rows = rows[np.argsort(self.pair[rows], kind="stable")]
         sorted_pairs = self.pair[rows]
         first = np.flatnonzero(np.concatenate([[True], sorted_pairs[1:] != sorted_pairs[:-1]])) if len(rows) else rows
-        self.pairs = sorted_pairs[first]
-        self.count = np.add.reduceat(self.n[rows].astype(np.int64), first) if len(rows) else np.zeros(0, np.int64)
-        self.pair_v, self.pair_w = self.v[rows[first]], self.w[rows[first]]
+        pairs = sorted_pairs[first]
+        count = np.add.reduceat(self.n[rows].astype(np.int64), first) if len(rows) else np.zeros(0, np.int64)
+        spread = hot.has(pairs)
+        own = (bucket_of(hot.pair, n_buckets) == table.column("bucket")[0].as_py()) & (hot.count > 0)
+        self.count = np.concatenate([count[~spread], hot.count[own]])
+        rows = rows[first][~spread]
+        self.pair_v, self.pair_w = np.concatenate([self.v[rows], hot.v[own]]), np.concatenate([self.w[rows], hot.w[own]])
+        # what entries are scored with: the bucket's pairs, and all hot pairs that it holds
+        held = (hot.count > 0) & np.isin(hot.pair, self.pair)
+        known = np.concatenate([pairs[~spread], hot.pair[held]])
+        order = np.argsort(known)
+        self.pairs, self.pair_count = known[order], np.concatenate([count[~spread], hot.count[held]])[order]
         # contexts of the training pairs: tokens after them, and pairs seen once, twice, more
         self.contexts, own = np.unique(self.pair_v, return_inverse=True)
         size = len(self.contexts)
@@ -148,15 +226,15 @@ class Bucket:
         self.after = np.stack(
             [weigh(self.count), weigh(self.count == 1), weigh(self.count == 2), weigh(self.count > 2)], 1
         ) if size else np.zeros((0, 4), np.int64)
-        self.words = np.unique(self.w)
+        self.words = np.unique(np.concatenate([self.w, self.pair_w]))
 
 
-def shares(forward: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
+def shares(forward: DataFrame, n_buckets: int, hot: np.ndarray, pairs: HotPairs) -> DataFrame:
     """What each bucket of pairs adds to the counts of its words, to the words' buckets."""
 
     def count(table: pa.Table) -> Iterator[tuple]:
         own = table.column("bucket")[0].as_py()
-        b = Bucket(table)
+        b = Bucket(table, n_buckets, pairs)
         at = np.searchsorted(b.words, b.pair_w)
         tokens = np.bincount(at, b.count, len(b.words)).astype(np.int64)
         kinds = np.bincount(at, minlength=len(b.words))
@@ -248,7 +326,7 @@ def bucket_scores(b: Bucket, got: list[dict[str, np.ndarray]], g: dict[str, int]
     by_context = np.argsort(contexts)
     with tempfile.TemporaryDirectory() as folder:
         m = Shard(
-            folder, pairs=b.pairs, count=b.count, words=words[order],
+            folder, pairs=b.pairs, count=b.pair_count, words=words[order],
             tokens=np.concatenate([a["tokens"] for a in got])[order].astype(np.float64),
             kinds=np.concatenate([a["kinds"] for a in got])[order].astype(np.float64),
             contexts=contexts[by_context], after=after[by_context].astype(np.float64),
@@ -275,17 +353,19 @@ def bucket_scores(b: Bucket, got: list[dict[str, np.ndarray]], g: dict[str, int]
     return np.log10(tokens + 0.5), np.log10(p), tokens
 
 
-def scored(forward: DataFrame, totals: DataFrame) -> DataFrame:
+def scored(forward: DataFrame, totals: DataFrame, n_buckets: int, pairs: HotPairs) -> DataFrame:
     """Per chunk of documents, its rows' keys and the sums of every bucket."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = Bucket(left)
+        b = Bucket(left, n_buckets, pairs)
         rows = list(b.docs)
         if len(b.w):
             g = right.column("totals")[0].as_py()
             base, logp, tokens = bucket_scores(b, [unpack(d) for d in right.column("data").to_pylist()], g)
             first = 0
             for chunk, n in b.chunks:
+                if not n:
+                    continue
                 s = slice(first, first + n)
                 first += n
                 doc, times = b.doc[s].astype(np.int64), b.n[s]
@@ -325,16 +405,22 @@ def per_document(parts: DataFrame) -> DataFrame:
     return grouped(parts, "chunk", add, RESULT, "key long, held_out boolean, n_tokens long, n_known long, base double, score double")
 
 
-def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(
+    docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
+    pair_share: float | None = None, sample_of: int = SAMPLE_OF,
+) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     size = text_bytes(docs, text)
     n_buckets = buckets_for(docs, size, BUCKET_BYTES)
     rows = docs.select(F.col(key).cast("long").alias("_key"), train.alias("_train"), F.col(text).alias("_text"))
-    hot = frequent_words(rows, 1 / (4 * n_buckets), text)
-    forward = entries(rows, n_buckets, hot)
-    told = answers(shares(forward, n_buckets, hot))
+    share = 1 / (4 * n_buckets)
+    pair_share = max(share, LEAST_SHARE) if pair_share is None else pair_share
+    hot = frequent_words(rows, min(share, pair_share), sample_of)
+    pairs = frequent_pairs(rows, pair_share, sample_of)
+    forward = entries(rows, n_buckets, hot, pairs)
+    told = answers(shares(forward, n_buckets, hot, pairs))
     totals = told.select(F.struct(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in SUMS])).scalar()
-    parts = scored(forward, told.select("bucket", "data", totals.alias("totals")))
+    parts = scored(forward, told.select("bucket", "data", totals.alias("totals")), n_buckets, pairs)
     n, v = totals["tokens"], totals["types"]
     return per_document(parts).select(
         F.col("key").alias(key), "held_out", "n_tokens", "n_known", n.alias("train_tokens"),

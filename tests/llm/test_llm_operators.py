@@ -222,6 +222,43 @@ def test_lm_scores(spark, corpus):
         assert g[5:] == pytest.approx(w[5:], rel=1e-6, abs=1e-9)
 
 
+@pytest.mark.parametrize("pair_share", [0.0, 0.0005, 0.01])
+def test_lm_scores_with_hot_pairs(spark, corpus, pair_share):
+    """Scores are the same whatever share of the pairs is spread by chunk."""
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").repartition(3)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    named = docs.select(F.col("doc_id").alias("_key"), (~held).alias("_train"), F.col("text").alias("_text"))
+    n = len(kn_scoring.frequent_pairs(named, pair_share, 1).pair)
+    assert n >= {0.0: 1000, 0.0005: 5, 0.01: 1}[pair_share]
+    got = kn_scoring.score_documents(docs, ~held, pair_share=pair_share, sample_of=1).collect()
+    got = sorted(map(tuple, got), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    want = [(d["doc_id"], *r) for d, r in zip(corpus[1], brute.bigram_scores(corpus[1], kn_scoring.discounts), strict=True)]
+    want.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[5:] == pytest.approx(w[5:], rel=1e-6, abs=1e-9)
+
+
+def test_a_hot_pair_is_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(kn_scoring, "CHUNK_BYTES", 1 << 12)
+    rows = [(i, f"w{i} x{i % 50} very common y{i % 70}" if i % 3 == 0 else f"a{i} b{i} c{i % 9}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    named = docs.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_train"), F.col("text").alias("_text"))
+    hot = kn_scoring.frequent_words(named, 0.02, 1)
+    none = kn_scoring.HotPairs(hot[:0], hot[:0])
+    pairs = kn_scoring.frequent_pairs(named, 0.02, 1)
+    assert 1000 in pairs.count
+
+    def largest(p):
+        """Entries of the largest bucket, as a multiple of the mean."""
+        sizes = Counter()
+        for r in kn_scoring.entries(named, 16, hot, p).filter("not docs").collect():
+            sizes[r["bucket"]] += len(packed.unpack(r["data"])["w"])
+        return max(sizes.values()) / (sum(sizes.values()) / 16)
+
+    assert largest(none) > 1.8 and largest(pairs) < 1.5
+
+
 def test_word_counts_beyond_32_bits(spark):
     import numpy as np
 
@@ -231,7 +268,7 @@ def test_word_counts_beyond_32_bits(spark):
         (1, 1, False, packed.pack(v=one(6), run=np.array([1], np.uint32), w=one(7), doc=np.array([0], np.uint16) | kn_scoring.TRAIN, n=np.array([most], np.uint32))),
     ]
     forward = spark.createDataFrame([(b, c, d, bytearray(x)) for b, c, d, x in rows], kn_scoring.ENTRY_DDL)
-    told = kn_scoring.answers(kn_scoring.shares(forward, 2, np.array([1, 2], np.uint64))).collect()
+    told = kn_scoring.answers(kn_scoring.shares(forward, 2, np.array([1, 2], np.uint64), kn_scoring.HotPairs(one(), one()))).collect()
     got = [packed.unpack(bytes(r["data"])) for r in told]
     assert sorted((r["bucket"], a["w"].tolist(), a["tokens"].tolist(), a["kinds"].tolist()) for r, a in zip(told, got, strict=True)) == [
         (0, [7], [3 * most], [2]), (1, [7], [3 * most], [2])
