@@ -107,6 +107,14 @@ class HotPairs:
     def has(self, pair: np.ndarray) -> np.ndarray:
         return Shard.find(self.pair, pair)[1]
 
+    def held(self, pair: np.ndarray) -> np.ndarray:
+        """Which of the hot pairs that training rows have are among ``pair``."""
+        out = np.zeros(len(self.pair), bool)
+        for first in range(0, len(pair) if len(out) else 0, 1 << 20):  # a stretch at a time, for memory
+            at, hit = Shard.find(self.pair, pair[first : first + (1 << 20)])
+            out[at[hit]] = True
+        return out & (self.count > 0)
+
 
 def frequent_pairs(docs: DataFrame, share: float, sample_of: int = SAMPLE_OF) -> HotPairs:
     """Pairs that make up ``share`` of the tokens of a sample, counted in all training rows.
@@ -215,7 +223,7 @@ class Bucket:
         rows = rows[first][~spread]
         self.pair_v, self.pair_w = np.concatenate([self.v[rows], hot.v[own]]), np.concatenate([self.w[rows], hot.w[own]])
         # what entries are scored with: the bucket's pairs, and all hot pairs that it holds
-        held = (hot.count > 0) & np.isin(hot.pair, self.pair)
+        held = hot.held(self.pair)
         known = np.concatenate([pairs[~spread], hot.pair[held]])
         order = np.argsort(known)
         self.pairs, self.pair_count = known[order], np.concatenate([count[~spread], hot.count[held]])[order]
