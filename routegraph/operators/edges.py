@@ -5,6 +5,10 @@
 ``hub_edges`` edges at that end) are dealt to several buckets: a round shuffles only what
 meets the edges, with the rows of hubs repeated for each of their buckets.
 
+``spread`` and ``looked_up`` join and group tables of counted rows in as many tasks as the rows
+need, where the session's shuffle partitions are too few for them; ``real_pairs`` are the joined
+pairs of a graph, made that way.
+
 Bucketed tables need a catalog entry: external tables in the session's current database, or
 in the one ``database`` names, dropped when the run ends. A driver that dies leaves the
 entries behind.
@@ -18,7 +22,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from routegraph.operators.graph import Graph
 from routegraph.operators.lineage import RoundTables, row_count
+from routegraph.sources.spread import session_partitions, spread
 
 #: Approximate in-memory bytes of one narrow row, used against the session's broadcast budget.
 NARROW_ROW_BYTES = 48
@@ -58,8 +64,7 @@ class BucketedTable:
         self.t, self.spark, self.keys, self.rel, self.database = t, t.spark, keys, name, database
         self.path = t.path(name)
         self.name = f"{database + '.' if database else ''}routegraph_{name}_{uuid.uuid4().hex}"
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        self.buckets = max(1, partitions, math.ceil(max_rows / rows_per_bucket))
+        self.buckets = max(1, session_partitions(self.spark), math.ceil(max_rows / rows_per_bucket))
         #: Appends since the table was last written as a whole, and the files of the last one.
         self.appends, self.newest = 0, None
         self._files: set[str] = set()
@@ -154,3 +159,33 @@ def symmetric(edges: DataFrame, *more: Column | str) -> DataFrame:
     return edges.select("src", "dst", *more).unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *more)
     )
+
+
+def looked_up(edges: DataFrame, rows: int, values: DataFrame, n_values: int, end: str, name: str) -> DataFrame:
+    """``edges`` (of at most ``rows`` rows) whose ``end`` is an id of ``values`` (``n_values`` rows
+    of unique id, value), with the value as ``name``."""
+    values = values.select(F.col("id").alias(end), F.col("value").alias(name))
+    if fits(edges.sparkSession, n_values):
+        return edges.join(F.broadcast(values), end)
+    return spread(edges, rows, end).join(values.hint("merge"), end)
+
+
+def real_pairs(g: Graph, t: RoundTables, undirected: bool = False) -> tuple[DataFrame, int]:
+    """(src, dst, n): the real edges of ``g`` counted per pair of vertices, and the number of
+    edges. ``undirected``: per joined pair, src < dst, without self-loops.
+
+    The edges are written and counted first, so that all that follows runs in tasks of bounded
+    rows; parallel edges go before the ends are looked up, so a hub has no more rows there than
+    the graph has vertices. The result is lazy and reads tables of ``t``.
+    """
+    ends = g.edges.select("src", "dst")
+    if undirected:
+        ends = ends.filter("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    ends, m = t.write(ends, "ends", row_count())
+    # an id that comes twice among the vertices doubles its edges, as a join with them does
+    ids, v = t.write(g.vertex_ids().groupBy("id").agg(F.count(F.lit(1)).alias("value")), "ids", row_count())
+    pairs = spread(ends, m["n"], "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    for end in ("dst", "src"):
+        pairs = looked_up(pairs, m["n"], ids, v["n"], end, f"{end}_times")
+    n = F.col("n") * F.col("src_times") * F.col("dst_times")
+    return pairs.select("src", "dst", n.alias("n")), m["n"]
