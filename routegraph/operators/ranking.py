@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegraph.operators.edges import symmetric
+from routegraph.operators.edges import HUB_EDGES, fits, real_pairs, symmetric
 from routegraph.operators.graph import Graph
 from routegraph.operators.lineage import RoundTables, row_count
 from routegraph.operators.messages import Program, Rounds, pass_messages
+from routegraph.sources.spread import spread
 
 
 def pagerank(
@@ -75,17 +76,30 @@ def label_propagation(g: Graph, rounds: int, **options) -> Rounds:
     without neighbours keeps its id. All vertices change at once; two that swap labels for
     ever do so until ``rounds`` ends.
 
-    The most frequent label is found in two steps, counts per (vertex, label) with partial
-    results, then the best count per vertex, so a hub's neighbours never meet in one task.
+    The most frequent label is found in two steps, counts per (vertex, label), then the best
+    count per vertex, in tasks of bounded rows. The votes of a vertex with more than
+    ``hub_edges`` neighbours are dealt by label to several, so they never meet in one task.
     """
     t = RoundTables(g.vertices.sparkSession, "labels")
     try:
-        both = symmetric(g.real_edges().filter("src != dst"))
-        pairs, _ = t.write(both.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "pairs", row_count())
+        pairs, _ = real_pairs(g, t, undirected=True)
+        pairs, m = t.write(pairs, "pairs", row_count())
+        t.delete("ends")
+        t.delete("ids")
+        both, n_votes = symmetric(pairs, "n"), 2 * m["n"]
+        limit = options.get("hub_edges", HUB_EDGES)
+        degrees = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+        hubs, h = t.write(degrees.select("id", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "hubs", row_count())
 
         def most_frequent(sent: DataFrame) -> DataFrame:
-            votes = sent.groupBy("id", "msg.label").agg(F.sum("msg.n").alias("n"))
-            best = votes.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("label"))).alias("best"))
+            votes, salts = sent.select("id", "msg.label", "msg.n"), F.lit(1)
+            if h["n"]:
+                told = F.broadcast(hubs) if fits(sent.sparkSession, h["n"]) else hubs
+                votes, salts = votes.join(told, "id", "left"), F.coalesce("salts", F.lit(1))
+            votes = votes.select("id", F.pmod(F.xxhash64("label"), salts).cast("int").alias("salt"), "label", "n")
+            votes = spread(votes, n_votes, "id", "salt").groupBy("id", "salt", "label").agg(F.sum("n").alias("n"))
+            best = F.min(F.struct(-F.col("n"), F.col("label"))).alias("best")
+            best = votes.groupBy("id", "salt").agg(best).groupBy("id").agg(F.min("best").alias("best"))
             return best.select("id", F.col("best.label").alias("msg"))
 
         program = Program(
@@ -94,6 +108,6 @@ def label_propagation(g: Graph, rounds: int, **options) -> Rounds:
             merge=most_frequent,
             update={"label": F.coalesce("msg", "label")},
         )
-        return pass_messages(g.vertex_ids(), pairs, program, rounds, **options)
+        return pass_messages(g.vertex_ids(), both, program, rounds, **options)
     finally:
         t.drop()

@@ -10,8 +10,8 @@ mapping is written in SQL for the DuckDB oracle (``routegraph.plans.oracle``).
 Scale notes
 * ``nation`` has 25 rows at every TPC-H scale factor, so broadcasting it is safe.
 * ``lineitem`` x ``orders`` is the one large-large join (on ``orderkey``); Spark plans it
-  as a sort-merge join. If the inputs are stored bucketed by orderkey it runs without a
-  shuffle; nothing here prevents that.
+  as a sort-merge join. Where the session's shuffle partitions are too few for the line items
+  (a metadata-only count), both sides are dealt to more (see ``spread``).
 * The destination id uses the customer count as a modulus: one scalar subquery, a
   metadata-only count of a single table.
 """
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routegraph.sources.spread import spread
+
 
 # The columns (and their stored types) this mapping reads from each test
 # table. Declaring them skips Parquet footer schema inference on every read; Catalyst
@@ -79,6 +81,8 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw routes: one row per (carrier, source, destination) flight; destination may be NULL."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_discount")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    rows = table(spark, sf_dir, "lineitem").count()
+    li, o = spread(li, rows, "l_orderkey"), spread(o, rows, "o_orderkey")
     n_places = table(spark, sf_dir, "customer").select(F.count(F.lit(1))).scalar()
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("l_suppkey").alias("airline_id"),

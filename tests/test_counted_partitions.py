@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from routegraph.operators import Graph, triangle_counts, triangles
+from routegraph.operators import Graph, label_propagation, triangle_counts, triangles
 from routegraph.operators.lineage import RoundTables
+from routegraph.sources import tpch
 
 N = 40
 
@@ -77,3 +78,32 @@ def test_wedges_are_not_shuffled_one_by_one(spark, few_rows, monkeypatch):
     assert not re.search(r"hashpartitioning\(b#\d+L?, c#\d+L?", text), "a row for every wedge"
     assert "REPARTITION_BY_NUM" in text and "REPARTITION_BY_NUM" in few_rows["pairs"]
     assert {r["id"]: r["n_triangles"] for r in triangle_counts(graph(spark, edges)).collect()} == dict(want)
+
+
+@pytest.mark.parametrize("hub_edges", [1_000_000, 10])
+def test_votes_are_counted_in_bounded_tasks(spark, few_rows, hub_edges):
+    edges = some_edges(2)
+    votes = Counter()
+    for a, b in real(edges):
+        if a != b:
+            votes[a, b] += 1
+            votes[b, a] += 1
+    label = {i: i for i in range(N)}
+    for _ in range(3):
+        heard = defaultdict(Counter)
+        for (a, b), k in votes.items():
+            heard[b][label[a]] += k
+        label = {i: min(heard[i], key=lambda x: (-heard[i][x], x)) if heard[i] else label[i] for i in range(N)}
+    found = label_propagation(graph(spark, edges), 3, hub_edges=hub_edges)
+    assert {r["id"]: r["label"] for r in found.states.collect()} == label
+    assert "REPARTITION_BY_NUM" in few_rows["pairs"] and "REPARTITION_BY_NUM" in few_rows["round=1"]
+
+
+def test_many_line_items_meet_their_orders_in_bounded_tasks(spark, few_rows, tmp_path):
+    spark.range(300).selectExpr("id % 90 l_orderkey", "id l_partkey", "id % 7 l_suppkey", "0.0D l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id o_orderkey", "id % 30 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(30).selectExpr("id c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    routes = tpch.routes(spark, str(tmp_path))
+    assert text_of(routes).count("REPARTITION_BY_NUM") >= 2
+    want = sorted((i % 7, (i % 90) % 30, i % 30) for i in range(300))
+    assert sorted(tuple(r) for r in routes.collect()) == want
