@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routegraph.operators.edges import HUB_EDGES, fits, real_pairs, symmetric
@@ -23,23 +23,22 @@ def pagerank(
     than ``tolerance``; both the mass and the movement are metrics of the round's own write,
     so a round is one job and no rank reaches the driver.
 
-    Parallel edges are counted to one weighted edge first; a hub's rank is sent along buckets
+    Parallel edges are counted to one weighted edge first, in tasks of bounded rows; a hub's rank is sent along buckets
     of its edges, and what a hub receives is summed before the shuffle.
     """
     if rounds is None and tolerance is None:
         raise ValueError("give a number of rounds, a tolerance, or both")
     t = RoundTables(g.vertices.sparkSession, "pagerank")
     try:
-        pairs, _ = t.write(
-            g.real_edges().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), "pairs", row_count()
-        )
-        out = pairs.groupBy("src").agg(F.sum("n").alias("out"))
-        shares, _ = t.write(
-            pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares", row_count()
-        )
+        pairs, n_edges = real_pairs(g, t)
+        out = F.sum("n").over(Window.partitionBy("src"))
+        by_src = spread(pairs, n_edges, "src").select("src", "dst", (F.col("n") / out).alias("share"))
+        shares, _ = t.write(by_src, "shares", row_count())
+        t.delete("ends")
+        t.delete("ids")
+        senders = shares.select(F.col("src").alias("id"), F.lit(False).alias("dangling")).distinct()
         vertices, m = t.write(
-            g.vertex_ids().join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left")
-            .select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")),
+            g.vertex_ids().join(senders, "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")),
             "vertices", row_count(),
         )
         n = max(m["n"], 1)

@@ -9,8 +9,9 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from routegraph.operators import Graph, label_propagation, triangle_counts, triangles
+from routegraph.operators import Graph, label_propagation, pagerank, triangle_counts, triangles
 from routegraph.operators.lineage import RoundTables
 from routegraph.sources import tpch
 
@@ -99,6 +100,38 @@ def test_votes_are_counted_in_bounded_tasks(spark, few_rows, hub_edges):
     assert "REPARTITION_BY_NUM" in few_rows["pairs"] and "REPARTITION_BY_NUM" in few_rows["round=1"]
 
 
+def test_shares_are_made_in_bounded_tasks(spark, few_rows):
+    edges = some_edges(3)
+    out = Counter(a for a, _ in real(edges))
+    rank = {i: 1 / N for i in range(N)}
+    for _ in range(4):
+        lost = sum(r for i, r in rank.items() if not out[i])
+        new = {i: (0.15 + 0.85 * lost) / N for i in range(N)}
+        for a, b in real(edges):
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    got = {r["id"]: r["rank"] for r in pagerank(graph(spark, edges), 4).states.collect()}
+    assert got == pytest.approx(rank, abs=1e-12)
+    # pairs counted, then looked up at either end: none in the session's partitions alone
+    assert few_rows["shares"].count("REPARTITION_BY_NUM") >= 3
+
+
+def test_vertices_that_come_twice_double_their_edges(spark, few_rows):
+    edges = [(0, 1), (0, 2), (1, 2), (2, 0), (2, 3)] * 20
+    g = Graph(spark.createDataFrame([(0,), (1,), (1,), (2,), (3,), (None,)], "id bigint"), spark.createDataFrame(edges, "src bigint, dst bigint"))
+    pagerank(g, 1)
+    label_propagation(g, 1)
+    from routegraph.operators.edges import real_pairs
+
+    t = RoundTables(spark, "test")
+    try:
+        got = {(r["src"], r["dst"]): r["n"] for r in real_pairs(g, t)[0].collect()}
+        want = {(r["src"], r["dst"]): r["n"] for r in g.real_edges().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert got == want and got[0, 1] == 40 and got[2, 3] == 20
+    finally:
+        t.drop()
+
+
 def test_many_line_items_meet_their_orders_in_bounded_tasks(spark, few_rows, tmp_path):
     spark.range(300).selectExpr("id % 90 l_orderkey", "id l_partkey", "id % 7 l_suppkey", "0.0D l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.range(100).selectExpr("id o_orderkey", "id % 30 o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
